@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fidelis.plans import expressions
+from fidelis.plans import expressions, measures
 
-MODULES = [expressions]
+MODULES = [expressions, measures]
 
 
 def queries() -> dict:
