@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -39,12 +40,13 @@ def smoothed(values: Column, sigma: float = 1.0) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
-def local_maxima(values: Column, least_share: float = 0.01) -> Column:
-    """Indices of the array's inner maxima of at least `least_share` of the greatest value.
+def local_maxima(values: Column, least_share: float | None = 0.01) -> Column:
+    """Indices of the array's inner maxima, of at least `least_share` of the greatest value if given.
 
     Of a flat top the first index counts.
     """
-    n, floor = F.size(values), F.array_max(values) * least_share
+    n = F.size(values)
+    floor = F.lit(float("-inf")) if least_share is None else F.array_max(values) * least_share
     get = lambda i: F.get(values, i.cast("int"))
     inner = F.when(n > 2, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.filter(inner, lambda i: (get(i) > get(i - 1)) & (get(i) >= get(i + 1)) & (get(i) >= floor))
@@ -57,24 +59,18 @@ def cluster_bounds(curve: DataFrame, keys: list[str] = (), threshold: float = 0.
     `threshold`; else the end of the grid.
     """
     keys = list(keys)
-    pdf, di, n = F.col("pdf"), F.col("di"), F.size("pdf")
-    low, high = F.array_min(pdf), F.array_max(pdf)
-    normal = F.transform(pdf, lambda x: F.when(high == low, 0.5).otherwise(F.try_divide(x - low, high - low)))
-    get = lambda a, i: F.get(a, i.cast("int"))
-    steps = F.sequence(F.lit(0), n - 1)
-
-    def signal(i: Column) -> Column:
-        a, b = F.greatest(i - 1, F.lit(0)), F.least(i + 1, n - 1)
-        return get(F.col("_p"), i) + F.coalesce(F.try_divide(get(F.col("_p"), b) - get(F.col("_p"), a), b - a), F.lit(0.0))
-
-    rows = as_arrays(curve, keys, ["di", "pdf"]).withColumn("_p", normal).withColumn("_at", F.array_position("_p", F.array_max("_p")).cast("int") - 1)
-    low_points = F.filter(steps, lambda i: signal(i) <= threshold)
-    rows = rows.withColumn("_low", low_points)
-    left = F.array_max(F.filter("_low", lambda i: i < F.col("_at")))
-    right = F.array_min(F.filter("_low", lambda i: i > F.col("_at")))
-    return rows.select(
-        *keys,
-        get(di, F.col("_at")).alias("z0"),
-        get(di, F.coalesce(left, F.lit(0))).alias("lcb"),
-        get(di, F.coalesce(right, n - 1)).alias("ucb"),
+    whole, line = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("point")
+    low, high = F.min("pdf").over(whole), F.max("pdf").over(whole)
+    normal = F.coalesce(F.try_divide(F.col("pdf") - low, high - low), F.lit(0.5))
+    rows = curve.select(*keys, "point", "di", normal.alias("_p"), (F.col("pdf") == high).alias("_high"))
+    before, after = F.lag("_p").over(line), F.lead("_p").over(line)
+    slope = F.when(before.isNull(), after - F.col("_p")).when(after.isNull(), F.col("_p") - before).otherwise((after - before) / 2)
+    top = F.min(F.when(F.col("_high"), F.col("point"))).over(whole)
+    rows = rows.withColumns({"_quiet": F.col("_p") + F.coalesce(slope, F.lit(0.0)) <= threshold, "_top": top})
+    at = lambda flag: F.when(flag, F.col("di"))
+    quiet = F.col("_quiet")
+    return rows.groupBy(*keys).agg(
+        F.max(at(F.col("point") == F.col("_top"))).alias("z0"),
+        F.coalesce(F.max(at(quiet & (F.col("point") < F.col("_top")))), F.min("di")).alias("lcb"),
+        F.coalesce(F.min(at(quiet & (F.col("point") > F.col("_top")))), F.max("di")).alias("ucb"),
     )

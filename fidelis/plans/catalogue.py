@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fidelis.plans import expressions, measures
+from fidelis.plans import expressions, fits, learning, measures
 
-MODULES = [expressions, measures]
+MODULES = [expressions, measures, fits, learning]
 
 
 def queries() -> dict:
