@@ -66,6 +66,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.pattern = regex.compile(PATTERN)
+        self.known: set[str] = set()  # characters that are not rare
         self.pre = None
         self.source = source
 
@@ -126,7 +127,11 @@ class Vocabulary:
         return tuple(reversed(ids))
 
     def _pieces(self, text: str) -> Iterator[str]:
-        if _rare().search(text) is None:
+        new = set(text) - self.known
+        if new and _rare().search("".join(new)) is None:
+            self.known |= new
+            new = set()
+        if not new:
             return (m[0] for m in self.pattern.finditer(text)) if len(text) > _BLOCK else iter(self.pattern.findall(text))
         # characters newer than this Python's tables: the tokenizers library knows its own classes
         if self.pre is None:
