@@ -32,7 +32,7 @@ def samples(df: DataFrame, column: str, keys: list[str], ties: list[str] = (), m
     bins = ranked.filter(F.col("_n") >= least).withColumn("_bin", F.when(F.col("_n") <= max_points, F.col("_k")).otherwise(share))
     means = bins.groupBy(*keys, "_bin").agg(F.avg("_x").alias("_x"), F.count("*").cast("double").alias("_c"))
     points = F.sort_array(F.collect_list(F.struct("_x", "_c")))
-    return means.groupBy(*keys).agg(points.alias("_p")).select(*keys, F.col("_p._x").alias("data"), F.col("_p._c").alias("counts"))
+    return means.groupBy(*keys).agg(points.alias("_p")).select(*keys, F.col("_p._x").alias("data"), F.col("_p._c").alias("counts")).filter(F.size("data") > 0)
 
 
 def fitted(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
+from itertools import product
 
 import numpy as np
 
@@ -19,6 +20,8 @@ from fidelis.functions.convert import TINY
 EPS = sys.float_info.epsilon
 #: The box that scale and bounds are searched in.
 S_BOX, LB_BOX, UB_BOX = (0.1, 10.0), (1e-6, math.exp(-1.000001)), (math.exp(1.000001), 1e6)
+#: Where the search may start besides the given place.
+COARSE = {"s": (0.2, 0.4, 0.7, 1.0, 1.6, 3.0), "lb": (1e-3, 0.03, 0.1353, 0.3), "ub": (3.0, 7.389, 30.0, 1000.0)}
 _GOLD = (math.sqrt(5) - 1) / 2
 
 
@@ -146,8 +149,11 @@ def _line(loss, x: np.ndarray, k: int, low: float, high: float, best: float, ste
 
 
 def minimise(loss, start: dict[str, float], box: dict[str, tuple[float, float]], tolerance: float = 1e-7, rounds: int = 6) -> tuple[dict[str, float], float]:
-    """Coordinate by coordinate in log space until a round gains less than `tolerance`."""
+    """From the best of `start` and a coarse grid, coordinate by coordinate in log space until a
+    round gains less than `tolerance`."""
     names = list(box)
+    tried = [{n: start[n] for n in names}, *(dict(zip(names, p, strict=True)) for p in product(*(COARSE[n] for n in names)))]
+    start = min(tried, key=loss)
     low = np.log([box[n][0] for n in names])
     high = np.log([box[n][1] for n in names])
     x = np.clip(np.log([start[n] for n in names]), low, high)
