@@ -25,7 +25,7 @@ from fidelis.llm.common import cut_lineage
 
 #: Production parameters: neighbours, pruning factor, rows in a shard (about), rows in a
 #: query block, rows in a leaf.
-K, FACTOR, SHARD_ROWS, BLOCK_ROWS, LEAF = 10, 1.0, 8192, 1024, 48
+K, FACTOR, SHARD_ROWS, BLOCK_ROWS, LEAF = 10, 1.0, 8192, 1024, 256
 
 
 @dataclass
@@ -81,16 +81,29 @@ class Search:
         self.visit(node.inside, rows[~near_inside & open_])
 
     def _scan(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> None:
-        d = np.zeros((len(rows), len(ids)))
-        for q, v in zip(self.queries[rows].T, vectors.T, strict=True):  # component by component, in order
-            d += (q[:, None] - v[None]) ** 2
-        d = np.sqrt(d)
-        d[self.query_ids[rows][:, None] == ids[None]] = np.inf
-        all_d = np.concatenate([self.distances[rows], d], 1)
-        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, d.shape)], 1)
-        order = np.lexsort((all_ids, all_d), axis=1)[:, : self.k]
-        self.distances[rows] = np.take_along_axis(all_d, order, 1)
-        self.ids[rows] = np.take_along_axis(all_ids, order, 1)
+        """Merges a leaf's vectors. Products of matrices leave out all that cannot be among the
+        k nearest, with room for their rounding; the rest gets its exact distance."""
+        q, k = self.queries[rows], self.k
+        sizes, own = (vectors * vectors).sum(1), (q * q).sum(1)
+        rough = own[:, None] + sizes[None] - 2 * (q @ vectors.T)
+        rough[self.query_ids[rows][:, None] == ids[None]] = np.inf
+        limit = self.distances[rows, -1] ** 2
+        if len(ids) > k:
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        room = 1e-9 * (own + sizes.max() + 1e-300)
+        at, which = np.nonzero((rough <= (limit + room)[:, None]) & np.isfinite(rough))
+        if not len(at):
+            return
+        d = np.zeros(len(at))
+        for x, y in zip(q[at].T, vectors[which].T, strict=True):  # component by component, in order
+            d += (x - y) ** 2
+        owner = np.concatenate([np.repeat(np.arange(len(rows)), k), at])
+        all_d = np.concatenate([self.distances[rows].ravel(), np.sqrt(d)])
+        all_ids = np.concatenate([self.ids[rows].ravel(), ids[which]])
+        order = np.lexsort((all_ids, all_d, owner))
+        firsts = np.searchsorted(owner[order], np.arange(len(rows)))
+        best = order[firsts[:, None] + np.arange(k)]
+        self.distances[rows], self.ids[rows] = all_d[best], all_ids[best]
 
 
 def _clean(embeddings: DataFrame) -> DataFrame:
