@@ -299,7 +299,9 @@ SELECT k, round(2 * (avg(fj) - 1), 6) AS residual_entropy, round(avg((fj - fi) /
 
 def local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     at = moments.curve(_acctbal(spark, sf), "s_acctbal", "egdf", ["k"], s=0.3, points=_POINTS)
-    rows = peaks.as_arrays(at, ["k"], ["pdf"]).withColumn("s", peaks.smoothed(F.col("pdf"), 1.0))
+    # rounded, so that flat stretches have no maxima in their last digits
+    level = F.transform(peaks.smoothed(F.col("pdf"), 1.0), lambda x: F.round(x, 9))
+    rows = peaks.as_arrays(at, ["k"], ["pdf"]).withColumn("s", level)
     return rows.select("k", F.explode(peaks.local_maxima(F.col("s"))).alias("point"), "s").select(
         "k", F.col("point").cast("int").alias("point"), _r(F.get("s", F.col("point").cast("int")), 5).alias("height")
     )
@@ -311,7 +313,7 @@ LOCAL_MAXIMA = f"""
 WITH {_moments_sql('egdf', 0.3)},
 p AS (SELECT k, point, {_PDF_EGDF.format(s=0.3)} AS pdf FROM m),
 kernel(o, c) AS (VALUES {', '.join(f'({i - len(_KERNEL) // 2}, {c!r}::DOUBLE)' for i, c in enumerate(_KERNEL))}),
-s AS (SELECT a.k, a.point, sum(c * b.pdf) AS s FROM p a, kernel, p b
+s AS (SELECT a.k, a.point, round(sum(c * b.pdf), 9) AS s FROM p a, kernel, p b
   WHERE a.k = b.k AND b.point = CASE WHEN a.point + o < 0 THEN -1 - a.point - o WHEN a.point + o >= {_POINTS} THEN {2 * _POINTS - 1} - a.point - o ELSE a.point + o END GROUP BY ALL),
 n AS (SELECT *, lag(s) OVER w AS l, lead(s) OVER w AS r, max(s) OVER (PARTITION BY k) AS top FROM s WINDOW w AS (PARTITION BY k ORDER BY point))
 SELECT k, point, round(s, 5) AS height FROM n WHERE s > l AND s >= r AND s >= 0.01 * top
