@@ -1,0 +1 @@
+"""No streaming operators: none of the definitions that this package follows works on streams."""
