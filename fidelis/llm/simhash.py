@@ -62,14 +62,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int) -> Itera
         )
 
 
-def _row_key() -> Column:
+def row_key() -> Column:
     """Tells rows apart by doc_id and text; only rows that repeat both share a key."""
     return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(_id, _k, _fp) of each row's doc_id, key and whole text; a null text has fingerprint zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _row_key().alias("_k"), F.col("text").alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), row_key().alias("_k"), F.col("text").alias("_text"))
     return rows.mapInArrow(lambda it: _fingerprint_batches(it, words), "_id long, _k string, _fp long")
 
 
@@ -150,12 +150,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(small.filter("u <> v").distinct())
 
 
-def _classed(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, _k, _fp, _root, component_id) of each row; _root is a fingerprint of its component."""
-    rows = cut_lineage(fingerprints(docs, words))
+def classes_of(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(_id, _k, _fp, _root, component_id) of each of `rows` (_id, _k, _fp), for `links` (a, b) of
+    values of _fp; _root is one of these from the row's component."""
     prints = cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    roots = components(fingerprint_links(prints.select("_fp")))
-    linked = prints.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select(
+    linked = prints.join(components(links).withColumnRenamed("node", "_fp"), "_fp", "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
     )
     classes = with_groups(
@@ -167,6 +166,11 @@ def _classed(docs: DataFrame, words: int) -> DataFrame:
     return dealt.join(spread, ["_fp", "_salt"]).select("_id", "_k", "_fp", "_root", "component_id")
 
 
+def _classed(docs: DataFrame, words: int) -> DataFrame:
+    rows = cut_lineage(fingerprints(docs, words))
+    return classes_of(rows, fingerprint_links(rows.select("_fp").distinct()))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint, component_id.
 
@@ -189,8 +193,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     that doc_id, and where there are null doc_ids only, that of the smallest key); of rows
     that repeat doc_id and text one stays.
     """
+    return one_of_each(docs, _classed(docs, words))
+
+
+def one_of_each(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """The rows of `docs` that drop_near_duplicates() keeps, for the components of `classed`."""
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_k").alias("k"))
-    keep = _classed(docs, words).groupBy("_root").agg(F.min(order).alias("_o")).select(F.col("_o.k").alias("_k"))
-    rows = docs.select(F.struct("*").alias("_row"), _row_key().alias("_k"))
+    keep = classed.groupBy("_root").agg(F.min(order).alias("_o")).select(F.col("_o.k").alias("_k"))
+    rows = docs.select(F.struct("*").alias("_row"), row_key().alias("_k"))
     first = F.row_number().over(Window.partitionBy("_k").orderBy("_k")) == 1
     return rows.join(keep, "_k", "left_semi").withColumn("_first", first).filter("_first").select("_row.*")
