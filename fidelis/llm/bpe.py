@@ -194,8 +194,8 @@ def _blocks(ids: Iterator[tuple[int, ...]]) -> Iterator[list[int]]:
         yield part
 
 
-def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of each row's whole text.
+def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of each row's whole text, and its `carried` columns.
 
     `tokenizer_json` is the text of a byte-level BPE tokenizer file. A null text counts as
     empty. Repeated rows each come out, an empty table gives no rows, other columns are
@@ -224,10 +224,12 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = False) -> Data
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+            columns, names = [*columns, *[b.column(c) for c in carried]], [*names, *carried]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, ENCODED + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *carried)
+    more = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*carried).schema]
+    return rows.mapInArrow(run, ", ".join([ENCODED, *(["ids array<int>"] if with_ids else []), *more]))
 
 
 _LOADED: dict[int, Vocabulary] = {}

@@ -128,6 +128,12 @@ def mix_plan(
     )
 
 
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cell_digits: int = CELL_DIGITS) -> DataFrame:
+    """All rows of `docs` with all their columns and their mix_plan() slot and source_pos, in the order of these."""
+    rows = _scheduled(docs, [F.struct("*").alias("_row")], weights, block_rows, cell_digits)
+    return rows.select("_row.*", F.col("_slot").alias("slot"), F.col("_pos").alias("source_pos")).sort("slot", "source_pos")
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cell_digits: int = CELL_DIGITS) -> DataFrame:
     """All rows of `docs` with all their columns, in slot order (range-partitioned by slot)."""
     placed = _scheduled(docs, [F.struct("*").alias("_row")], weights, block_rows, cell_digits)
