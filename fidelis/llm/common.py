@@ -25,30 +25,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(True))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session names none (tests) a temporary folder is set.
+    A session in local mode that names none (tests) gets a temporary one; on a cluster that
+    is an error, as other machines would not see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(named)
+    return named
 
 
-#: Labelled rows whose text is longer than this are not drawn to train on (they are scored).
-TRAIN_CHARS = 100_000
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Texts of at most `per_class` training rows of each class, and the size of each whole class.
+    """(_label, _id, _h, _text, lang) of at most `per_class` training rows of each class, and the size of each whole class.
 
     The rows are those of smallest hash among the rows that may be learned from; the
     label table is cut to the bound before any text is read, so the side that is
-    broadcast has 2 * per_class thin rows whatever the size of the corpus.
-    Label rows with null doc_id or a label other than 0 and 1 are not learned from; of
-    labels that disagree about a doc_id the smaller counts.
+    broadcast has 2 * per_class thin rows whatever the size of the corpus. Texts of any
+    length are drawn, null ones as empty. Label rows with null doc_id or a label other than
+    0 and 1 are not learned from; of labels that disagree about a doc_id the smaller counts.
+    Documents that share a doc_id all come out: see one_of_each_id().
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
@@ -63,14 +71,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
         picked = known.limit(0)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = (
-        docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+        docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), lang.alias("lang"))
         .join(F.broadcast(picked), "_id")
-        .select("_label", "_text", F.xxhash64("_id").alias("_h"))
+        .select("_label", "_id", F.xxhash64("_id").alias("_h"), "_text", "lang")
     )
-    # a repeated doc_id can multiply rows, so the bound is set once more
-    short = texts.filter(F.length("_text") <= TRAIN_CHARS)
-    return short.orderBy("_h", "_text").limit(2 * per_class), sizes
+    return texts, sizes
+
+
+def one_of_each_id(sample: DataFrame, payload: str) -> DataFrame:
+    """(_id, _h, _label, payload): of documents that share a doc_id the one of smallest payload."""
+    return sample.groupBy("_id", "_h", "_label").agg(F.min(payload).alias(payload))
 
 
 def with_groups(rows: DataFrame, by: list[str], row: Column, partial: list[Column], final: list[Column], salts: int = 64) -> DataFrame:
