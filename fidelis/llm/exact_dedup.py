@@ -108,28 +108,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     repeats another with doc_id and all is a copy as well: one of them is kept. An empty
     table gives no rows. Columns beside doc_id and text are ignored.
 
-    Groups of any size are split by a salt from doc_id, summed up salt by salt and then
+    Rows alike in doc_id, length and text are first counted, as one row stands for them;
+    groups of any size are then split by a salt from doc_id, summed up salt by salt and
     over the salts, and the result goes back to the rows by (recipe, salt).
     """
     order = F.struct(-F.col("_len"), F.col("doc_id").isNull(), F.col("doc_id"))
+    alike = recipes(docs).groupBy("doc_id", "_len", "text_sha256", "_recipe").agg(F.count("*").alias("_c"))
     rows = with_groups(
-        recipes(docs),
+        alike,
         ["_recipe"],
         F.col("doc_id"),
-        [F.min(order).alias("_best"), F.count("*").alias("_n")],
+        [F.min(order).alias("_best"), F.sum("_c").alias("_n")],
         [F.min("_best").alias("_best"), F.sum("_n").alias("group_size")],
-    ).withColumn("keep_id", F.col("_best.doc_id"))
-    within = Window.partitionBy("_recipe", "_salt").orderBy(order)
-    first = F.row_number().over(within) == 1
-    return (
-        rows.withColumn("_first", first)
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "text_sha256",
-        )
+    )
+    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_i")).select(
+        "doc_id",
+        F.col("_best.doc_id").alias("keep_id"),
+        "group_size",
+        ((F.col("_i") == 1) & (order == F.col("_best"))).alias("kept"),
+        "text_sha256",
     )
 
 
@@ -137,7 +134,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_groups keeps, with all their columns.
 
     Decisions are joined by doc_id; the rows of one doc_id that have several texts are told
-    apart by text_sha256, and of rows repeated whole one stays.
+    apart by text_sha256; of rows that share both, the longest stays, of these the one of
+    smallest text, and of rows repeated whole any one.
     """
     kept = exact_groups(docs).filter("kept").select(_key(F.col("doc_id")).alias("_k"), F.col("text_sha256").alias("_s"))
     rows = docs.select(
@@ -147,7 +145,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
         F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_s"),
     )
     # within a kept (doc_id, text) only a repeated doc_id has more than one row
-    first = F.row_number().over(Window.partitionBy("_k", "_s").orderBy(F.desc("_len"))) == 1
+    first = F.row_number().over(Window.partitionBy("_k", "_s").orderBy(F.desc("_len"), F.col("_row.text"))) == 1
     return rows.join(kept, ["_k", "_s"], "left_semi").withColumn("_first", first).filter("_first").select("_row.*")
 
 
