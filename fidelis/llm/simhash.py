@@ -5,7 +5,8 @@ most two bits share at least six of them. A posting list for a single positional
 would hold a 256th of the corpus, so lists are kept for four positional bytes at a time:
 of the four byte pairs at least two are shared, which the six choices of two pairs cover.
 For each pair of fingerprints from a list the shared positional bytes are tallied; pairs
-that reach the guaranteed minimum of six are verified by their differing bits.
+that reach the guaranteed minimum of six are verified by their differing bits. The tally
+only spares work: whatever it leaves out would fail the verification as well.
 
 Lists longer than LONG_LIST make no pairs. There, two fingerprints that differ in at most
 two bits have a common neighbour, one free bit or none away from each, so members are
@@ -63,8 +64,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int) -> Itera
 
 
 def row_key() -> Column:
-    """Tells rows apart by doc_id and text; only rows that repeat both share a key."""
-    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"))
+    """Tells rows apart by doc_id and text (null: empty); only rows that repeat both share a key."""
+    doc_id = F.col("doc_id").cast("string")
+    named = F.when(doc_id.isNull(), F.lit("n")).otherwise(F.concat(F.lit("i"), F.length(doc_id).cast("string"), F.lit(":"), doc_id))
+    return F.md5(F.concat(named, F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     fingerprint zero, which links like any other. component_id is the smallest doc_id
     reachable over links of two differing bits or fewer; it is null only where no row of
     the component has a doc_id. Repeated rows each come out. An empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. doc_id is cast to long: text ids that are no numbers are an error.
     """
     return _classed(docs, words).select(
         F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
