@@ -16,13 +16,14 @@ import regex
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fidelis.llm.common import held_out
 
 #: Production parameters: dictionary bytes and training rows of each language at most, the
-#: most bytes that one row adds, languages at most; text block; least margin (share of the
-#: best size) of a prediction that is not rejected.
-DICT_BYTES, ROWS_PER_LANGUAGE, ROW_BYTES, MAX_LANGUAGES = 96 << 10, 60, 2 << 10, 64
+#: most bytes that one row adds, cells of a language's rows; text block; least margin (share
+#: of the best size) of a prediction that is not rejected.
+DICT_BYTES, ROWS_PER_LANGUAGE, ROW_BYTES, CELLS = 96 << 10, 60, 2 << 10, 1024
 BLOCK_BYTES, MIN_MARGIN = 4 << 10, 0.01
 #: Matches of four bytes, as words of a text and its dictionary share little more.
 COMPRESSION = {
@@ -41,34 +42,29 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def dictionaries(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, bytes]:
-    """The dictionary of each non-null language of the training rows, most frequent first.
-
-    Each language gives the rows of smallest hash among its non-null texts, and of each row
-    a middle piece of ROW_BYTES at most. Hashes are first cut to the share that leaves about
-    four times the bound, so the ranking gets few rows even where one language holds most.
+    """The dictionary of each non-null language of the training rows, by name.
+
+    Each language gives rows of small hash among its non-empty texts, and of each row a
+    middle piece of ROW_BYTES at most. A language's rows fall into CELLS cells by a hash;
+    each cell gives its least hash, and of these the least are taken: one aggregate whose
+    cells are combined in the tasks, whatever the share of a language. Documents that share
+    a doc_id give one piece, the smallest. Without training rows there are no dictionaries.
+    Each language that occurs takes DICT_BYTES on the driver and in each task.
     """
-    rows = docs.select("lang", "text", "doc_id").filter(
+    rows = docs.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").filter(
         F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES for this corpus")
-    order = F.xxhash64("doc_id")
-    unit = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    out = {}
-    for row in counts:
-        share = min(1.0, 4 * rows_per_language / row["count"] + 0.001 * (row["count"] < 10_000))
-        start = F.greatest(F.lit(1), F.floor((F.length("text") - ROW_BYTES) / 2)).cast("int")
-        some = (
-            rows.filter((F.col("lang") == row["lang"]) & (unit <= share))
-            .select(order.alias("h"), F.substring(F.col("text"), start, F.lit(ROW_BYTES)).alias("t"))
-            .orderBy("h", "t")
-            .limit(rows_per_language)
-            .collect()
-        )
-        pieces = [r["t"].lower().encode("utf-8", "replace")[:ROW_BYTES] for r in some]
-        # zstandard finds the end of a dictionary most cheaply
-        out[row["lang"]] = b"\n".join(pieces)[-DICT_BYTES:]
+    cells = rows.groupBy("lang", F.pmod(F.xxhash64("h"), F.lit(CELLS)).alias("cell")).agg(F.min("h").alias("h"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # CELLS rows a language
+    picked = cells.withColumn("r", least).filter(F.col("r") <= rows_per_language).select("lang", "h")
+    start = F.greatest(F.lit(1), F.floor((F.length("text") - ROW_BYTES) / 2)).cast("int")
+    piece = F.substring(F.col("text"), start, F.lit(ROW_BYTES))
+    some = rows.select("lang", "h", piece.alias("t")).join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    pieces: dict[str, list[bytes]] = {}
+    for r in sorted(some.collect(), key=lambda r: (r["lang"], r["h"])):
+        pieces.setdefault(r["lang"], []).append(r["t"].lower().encode("utf-8", "replace")[:ROW_BYTES])
+    # zstandard finds the end of a dictionary most cheaply
+    out = {lang: b"\n".join(own)[-DICT_BYTES:] for lang, own in pieces.items()}
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
@@ -94,7 +90,7 @@ class Identifier:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0, 0.0, True
         sizes = self.sizes(text)
-        best = int(sizes.argmin())  # ties: the language with more training rows
+        best = int(sizes.argmin())  # ties: the first name
         rest = np.delete(sizes, best)
         margin = float((rest.min() - sizes[best]) / max(1.0, sizes[best])) if len(rest) else 1.0
         blocks = max(1, -(-len(text) // BLOCK_BYTES))
