@@ -11,24 +11,25 @@ period, on the driver, from parameters alone, and a block's slot follows from it
 
 from __future__ import annotations
 
+import heapq
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Production parameters. Rows in a block; slots in a period; leading hex digits of the
-#: order hash that split a source into cells which are ranked apart.
-BLOCK_ROWS, PERIOD, CELL_DIGITS = 16, 1000, 3
+#: Production parameters. Rows in a block; slots in a period at least, and for each source;
+#: leading hex digits of the order hash that split a source into cells which are ranked apart.
+BLOCK_ROWS, PERIOD, SLOTS_PER_SOURCE, CELL_DIGITS = 16, 1000, 4, 3
 
 
 def target_slots(sizes: dict[str, float], period: int = PERIOD, power: float = 0.5) -> dict[str, int]:
     """Slots of each source in a period: in proportion to size ** power, one at least.
 
-    Largest remainders get the slots that rounding leaves; ties go to the smaller name.
+    Largest remainders get the slots that rounding leaves; ties go to the smaller name. The
+    period grows with the number of sources, to SLOTS_PER_SOURCE slots for each.
     """
-    if len(sizes) > period:
-        raise ValueError(f"{len(sizes)} sources do not fit a period of {period} slots")
+    period = max(period, SLOTS_PER_SOURCE * len(sizes))
     if not sizes:
         return {}
     total = sum(v**power for v in sizes.values())
@@ -42,12 +43,17 @@ def target_slots(sizes: dict[str, float], period: int = PERIOD, power: float = 0
 
 def edf_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block, slot) of one period: earliest deadline first among released blocks."""
-    period, done, out = sum(slots.values()), dict.fromkeys(slots, 0), []
+    period, out = sum(slots.values()), []
+    waiting, ready = [(0, s, 0) for s in slots], []
+    heapq.heapify(waiting)
     for t in range(period):
-        ready = [s for s, n in slots.items() if done[s] < n and done[s] * period // n <= t]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * period // slots[s]), s))
-        out.append((s, done[s], t))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            _, s, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(block + 1) * period // slots[s]), s, block))
+        _, s, block = heapq.heappop(ready)
+        out.append((s, block, t))
+        if block + 1 < slots[s]:
+            heapq.heappush(waiting, ((block + 1) * period // slots[s], s, block + 1))
     return out
 
 
@@ -81,8 +87,8 @@ def _ranked(docs: DataFrame, payload: list[Column], cell_digits: int) -> DataFra
 def _scheduled(docs: DataFrame, payload: list[Column], weights: dict[str, int] | None, block_rows: int, cell_digits: int):
     if weights is None:
         counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n"))
-        # more sources than slots are refused, so what comes to the driver is bounded
-        weights = target_slots({r["s"]: r["n"] for r in counts.orderBy("s").limit(PERIOD + 1).collect()})
+        # one row a source: the schedule, and so what the driver holds, is that of the sources alone
+        weights = target_slots({r["s"]: r["n"] for r in counts.collect()})
     period = sum(weights.values())
     plan = edf_period(weights)
     spark = docs.sparkSession
@@ -94,11 +100,11 @@ def _scheduled(docs: DataFrame, payload: list[Column], weights: dict[str, int] |
     ).select(F.col("x.s").alias("_source"), F.col("x.j").alias("_slots"))
     return (
         _ranked(docs, payload, cell_digits)
-        .join(F.broadcast(shares), "_source", "left")
+        .join(shares, "_source", "left")
         .withColumn("_slots", F.coalesce("_slots", F.raise_error(F.concat(F.lit("no weight for source "), "_source")).cast("long")))
         .withColumn("_block", F.floor(F.col("_pos") / block_rows))
         .withColumn("_within", F.pmod("_block", "_slots"))
-        .join(F.broadcast(schedule), ["_source", "_within"])
+        .join(schedule, ["_source", "_within"])
         .withColumn("_slot", F.floor(F.col("_block") / F.col("_slots")) * period + F.col("_slot"))
     )
 
@@ -114,8 +120,8 @@ def mix_plan(
 
     `weights` are slots in a period for each source, by default by target_slots over the
     sources' row counts. Rows of a source are taken in the order of md5(doc_id), ties by
-    doc_id; rows that share a doc_id stand in either order. A null source counts as the
-    source ''. No row is dropped: slots of a source that has run out stay empty, and the
+    doc_id; rows that share a doc_id are alike in the plan (texts are not read), and those
+    of one source are ranked in one task. A null source counts as the source ''. No row is dropped: slots of a source that has run out stay empty, and the
     others go on by their weights. A source without a weight is an error when its rows are met.
     An empty table gives no rows; other columns are ignored.
     """
