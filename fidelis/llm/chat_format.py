@@ -129,11 +129,21 @@ def _format_rows(batch: pa.RecordBatch, piece_bytes: int) -> Iterator[tuple]:
     yield conv.take(pa.array(cut)), strings, turns, masks
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `most` bytes of text, one row at least: assembly takes several indices a byte."""
+    sizes = pc.add(pc.binary_length(batch.column("text")), pc.binary_length(batch.column("role")))
+    ends = np.cumsum(np.asarray(sizes, np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _format_batches(batches: Iterator[pa.RecordBatch], piece_bytes: int) -> Iterator[pa.RecordBatch]:
     previous, number = object(), 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in _slices(whole, 2 * piece_bytes)):
         for conv, strings, turns, masks in _format_rows(batch, piece_bytes):
             numbers = []
             for value in conv.to_pylist():
@@ -217,6 +227,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, read back from the rows of format_chat.
 
     Works in the order that format_chat leaves, without another shuffle, and hashes piece
-    by piece, so memory does not grow with a conversation.
+    by piece, so memory does not grow with a conversation. A null conv_id is one of them;
+    an empty table gives no rows.
     """
     return formatted.mapInArrow(_digest_batches, DIGESTS)
