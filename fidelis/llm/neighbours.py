@@ -5,13 +5,13 @@ which side can hold nothing nearer than the neighbours found so far. The bound i
 by a factor: a side is left out when its least distance times `factor` exceeds the present
 k-th distance. Factor one prunes only what cannot matter and is exact.
 
-Every row is indexed. Trees are made once for each shard of bounded size; the stated query
-set meets them in blocks, and the partial lists of a query are merged by rank.
+Every row is indexed. Each shard, of bounded size, is met by the stated query set in the task
+that makes its tree: vectors and queries come sorted, so a task holds one shard and one block
+of queries at a time. The partial lists of a query are merged by rank.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,45 +132,49 @@ def nearest(
     """
     rows = cut_lineage(_clean(embeddings).dropDuplicates(["_id", "_v"]))
     shards = max(1, -(-rows.count() // shard_rows))
-    schema = "_dim int, _shard int, _tree binary"
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["_id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        made = build(ids[order], np.stack(pdf["_v"].to_numpy())[order])
-        return pd.DataFrame({"_dim": [pdf["_dim"].iloc[0]], "_shard": [pdf["_shard"].iloc[0]], "_tree": [pickle.dumps(made)]})
-
     # hashes deal rows evenly whatever their ids
     dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_v"), F.lit(shards)).cast("int"))
-    trees = dealt.groupBy("_dim", "_shard").applyInPandas(tree, schema)
-    queries = rows.filter(F.pmod("_id", F.lit(every)) == 0)
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    asked = (
-        queries.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-        .groupBy("_dim", "_block")
-        .agg(F.collect_list(F.struct("_id", "_v")).alias("_queries"))
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    queries = rows.filter(F.pmod("_id", F.lit(every)) == 0).withColumn(
+        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    )
+    tasks = min(shards, 20_000)  # a task takes whole shards, one after another
+    streams = (
+        dealt.withColumn("_asked", F.lit(False))
+        .unionByName(queries.withColumn("_asked", F.lit(True)))
+        .repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_dim", "_shard")
+        .sortWithinPartitions("_dim", "_shard", "_asked", "_id")
     )
+    parts = streams.mapInPandas(lambda it: _search_streams(it, k, factor), "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for blob, block in zip(pdf["_tree"], pdf["_queries"], strict=True):
-                ids = np.array([q["_id"] for q in block], np.int64)
-                found = Search(ids, np.stack([np.asarray(q["_v"], float) for q in block]), k, factor)
-                found.visit(pickle.loads(blob), np.arange(len(ids)))
+def _search_streams(frames: Iterator[pd.DataFrame], k: int, factor: float) -> Iterator[pd.DataFrame]:
+    """Shard by shard: the shard's vectors, of which a tree is made, then all queries past it.
+
+    A task holds the vectors of one shard and BLOCK_ROWS queries, whatever their number.
+    """
+    shard, held, tree = None, [], None
+    for frame in frames:
+        for key, part in frame.groupby(["_dim", "_shard"], sort=False):
+            if key != shard:
+                shard, held, tree = key, [], None
+            asked = part["_asked"].to_numpy()
+            mine = part[~asked]
+            if len(mine):
+                held.append((mine["_id"].to_numpy(np.int64), np.stack(mine["_v"].to_numpy()).astype(float)))
+            rest = part[asked]
+            if len(rest) and tree is None and held:
+                ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+                tree, held = build(ids, vectors), []
+            if tree is None:
+                continue
+            for i in range(0, len(rest), BLOCK_ROWS):
+                block = rest.iloc[i : i + BLOCK_ROWS]
+                ids = block["_id"].to_numpy(np.int64)
+                found = Search(ids, np.stack(block["_v"].to_numpy()).astype(float), k, factor)
+                found.visit(tree, np.arange(len(ids)))
                 real = np.isfinite(found.distances)
                 yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, real.sum(1)),
-                        "vec_id": found.ids[real],
-                        "score": found.distances[real],
-                    }
+                    {"query_id": np.repeat(ids, real.sum(1)), "vec_id": found.ids[real], "score": found.distances[real]}
                 )
-
-    parts = (
-        asked.join(trees, ["_dim", "_shard"])
-        .select("_tree", "_queries")
-        .mapInPandas(search, "query_id long, vec_id long, score double")
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
