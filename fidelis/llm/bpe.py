@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 #: The pattern by which byte-level BPE of this family parts texts into pieces: fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CACHE, _PAIRS, _BLOCK = 200_000, 1_000_000, 1 << 20
+#: Letters, numbers and white space of Latin-1, for the same pattern in the faster standard module.
+_L, _N, _S = (r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_CACHE, _PAIRS, _BLOCK, _LONG = 200_000, 1_000_000, 1 << 20, 64
 _FAR = 1 << 60
 
 
@@ -59,12 +63,14 @@ class Vocabulary:
             regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         )
         self.automaton = ahocorasick.Automaton()
+        self.followers = {}
         for i, b in self.bytes_of.items():
             if i not in self.added.values() and (i in self.parts or len(b) == 1):
                 self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+                self.followers[i] = _Followers(self, i)
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pairs = 0
+        self.pieces = _Pieces(self)
         self.pattern = regex.compile(PATTERN)
         self.known: set[str] = set()  # characters that are not rare
         self.pre = None
@@ -77,93 +83,125 @@ class Vocabulary:
         at the border must not have a merge that comes before the one just undone. Of equal
         merges the left one comes first.
         """
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
-        a, b, limit, from_right, fine = left, right, _FAR, True, True
+        a, b, limit, from_right = left, right, _FAR, True
         while True:
             joined = self.merge.get((a, b))
             if joined is not None and (joined[0] < limit or (joined[0] == limit and from_right)):
-                fine = False
-                break
+                return False
             pa_, pb = self.parts.get(a), self.parts.get(b)
             if pa_ is None and pb is None:
-                break
+                return True
             if pb is None or (pa_ is not None and pa_[0] > pb[0]):
                 limit, a, from_right = pa_[0], pa_[2], False
             else:
                 limit, b, from_right = pb[0], pb[1], True
-        if len(self.pairs) >= _PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = fine
-        return fine
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece of text."""
-        data = piece.encode("utf-8", "replace")
-        last = [-1] * (len(data) + 1)
-        sizes = [0] * (len(data) + 1)
-        pairs, compatible = self.pairs, self.compatible
-        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
+    def forget_pairs(self) -> None:
+        for known in self.followers.values():
+            known.clear()
+        self.pairs = 0
+
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of one piece of text, as little-endian 32-bit integers."""
+        data = piece.encode("utf-8", "replace").decode("latin-1")
+        at, done, followers = len(data), -1, self.followers
+        # for each prefix what may follow its last token, and that token's length
+        last: list[_Followers | None] = [None] * (at + 1)
+        sizes = [0] * (at + 1)
+        for end, (token, size) in self.automaton.iter(data):  # the longest token of an end comes first
+            if end == done:
                 continue
-            start = end - size
+            start = end + 1 - size
             if start:
                 before = last[start]
-                if before < 0:
-                    continue
-                fine = pairs.get(before << 32 | token)
-                if fine is None:
-                    fine = compatible(before, token)
-                if not fine:
+                if before is None or not before[token]:
                     continue
-            last[end], sizes[end] = token, size
-        ids, at = [], len(data)
+            done = end
+            last[end + 1], sizes[end + 1] = followers[token], size
+        packed = []
         while at:
-            ids.append(last[at])
+            packed.append(last[at].packed)
             at -= sizes[at]
-        return tuple(reversed(ids))
+        packed.reverse()
+        return b"".join(packed)
 
     def _pieces(self, text: str) -> Iterator[str]:
-        new = set(text) - self.known
-        if new and _rare().search("".join(new)) is None:
+        find = LATIN if _is_latin(text) else self.pattern
+        if find is self.pattern:
+            new = set(text) - self.known
+            if new and _rare().search("".join(new)):
+                # characters newer than this Python's tables: the tokenizers library knows its own classes
+                if self.pre is None:
+                    from tokenizers import Tokenizer
+
+                    self.pre = Tokenizer.from_str(self.source).pre_tokenizer
+                return (text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text))
             self.known |= new
-            new = set()
-        if not new:
-            return (m[0] for m in self.pattern.finditer(text)) if len(text) > _BLOCK else iter(self.pattern.findall(text))
-        # characters newer than this Python's tables: the tokenizers library knows its own classes
-        if self.pre is None:
-            from tokenizers import Tokenizer
-
-            self.pre = Tokenizer.from_str(self.source).pre_tokenizer
-        return (text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text))
-
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The ids of a whole text, piece by piece; strings of added tokens get their ids."""
+        return (m[0] for m in find.finditer(text)) if len(text) > _BLOCK else iter(find.findall(text))
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of a whole text, packed, in blocks; strings of added tokens get their ids."""
         at = 0
         for m in self.split_added.finditer(text) if self.split_added else ():
             yield from self._encode_plain(text[at : m.start()])
-            yield (self.added[m[0]],)
+            yield self.added[m[0]].to_bytes(4, "little")
             at = m.end()
         yield from self._encode_plain(text[at:] if at else text)
 
-    def _encode_plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        pieces = self.pieces
-        for piece in self._pieces(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= 64:
-                    if len(pieces) >= _CACHE:
-                        pieces.clear()
-                    pieces[piece] = ids
-            yield ids
+    def _encode_plain(self, text: str) -> Iterator[bytes]:
+        found, ids_of = self._pieces(text), self.pieces.__getitem__
+        while part := b"".join(map(ids_of, itertools.islice(found, _BLOCK >> 2))):
+            yield part
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that packed ids stand for; of a whole text's ids, its UTF-8."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class _Followers(dict):
+    """token -> whether it may follow the token `left`; filled as pairs are met, within a bound."""
+
+    __slots__ = ("left", "packed", "vocabulary")
+
+    def __init__(self, vocabulary: Vocabulary, left: int):
+        self.vocabulary, self.left, self.packed = vocabulary, left, left.to_bytes(4, "little")
+
+    def __missing__(self, right: int) -> bool:
+        whole = self.vocabulary
+        if whole.pairs >= _PAIRS:
+            whole.forget_pairs()
+        whole.pairs += 1
+        fine = self[right] = whole.compatible(self.left, right)
+        return fine
+
+
+class _Pieces(dict):
+    """piece -> its packed ids, of short pieces met lately: when full, the pieces in it become the
+    old ones, from which those that are met again are taken back."""
+
+    __slots__ = ("old", "vocabulary")
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.old = vocabulary, {}
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for; of a whole text's ids, its UTF-8."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.vocabulary.encode_piece(piece)
+        if len(piece) <= _LONG:
+            if len(self) >= _CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _RARE = None
@@ -188,12 +226,6 @@ def _rare():
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _blocks(ids: Iterator[tuple[int, ...]]) -> Iterator[list[int]]:
-    flat = itertools.chain.from_iterable(ids)
-    while part := list(itertools.islice(flat, _BLOCK)):
-        yield part
-
-
 def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of each row's whole text, and its `carried` columns.
 
@@ -210,16 +242,16 @@ def encode(docs: DataFrame, tokenizer_json: str, with_ids: bool = False, carried
             counts, hashes, decoded, kept = [], [], [], []
             for t in b.column("text"):
                 n, h, d, own = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in _blocks(vocabulary.encode(t.as_py() or "")):
-                    n += len(part)
-                    h.update(np.array(part, "<u4").tobytes())
+                for part in vocabulary.encode(t.as_py() or ""):
+                    n += len(part) >> 2
+                    h.update(part)
                     d.update(vocabulary.decode(part))
                     if with_ids:
-                        own.extend(part)
+                        own.append(part)
                 counts.append(n)
                 hashes.append(h.hexdigest())
                 decoded.append(d.hexdigest())
-                kept.append(own)
+                kept.append(np.frombuffer(b"".join(own), "<i4"))
             columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

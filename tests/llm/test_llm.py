@@ -289,13 +289,14 @@ def vocabulary():
 
 @pytest.mark.parametrize(
     "text",
-    ["", "a", "aaaaaaaaaaaaaaaaaaaaaa", " \n\n  x", "don't we'll", "naïve 日本語 ՘", "x<|endoftext|>y<|endoftext|>", "!!!!!???---", "\U0001f600" * 9, "a\x1cb\x85c", "0123456789" * 30, "hello" * 999],
+    ["", "a", "aaaaaaaaaaaaaaaaaaaaaa", " \n\n  x", "ª²\xa0\x85 ×÷ß\xad¼x\x1c\x1f\t\r\n é", " \xa0 \u3000 “x” ÿĀ", "don't we'll", "naïve 日本語 ՘", "x<|endoftext|>y<|endoftext|>", "!!!!!???---", "\U0001f600" * 9, "a\x1cb\x85c", "0123456789" * 30, "hello" * 999],
 )
 def test_ids_match_the_library(vocabulary, text):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = [i for part in vocabulary.encode(text) for i in part]
+    packed = b"".join(vocabulary.encode(text))
+    ids = np.frombuffer(packed, "<u4").tolist()
     assert ids == library.encode(text, add_special_tokens=False).ids
-    assert vocabulary.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
+    assert vocabulary.decode(packed).decode() == library.decode(ids, skip_special_tokens=False)
 
 
 def test_random_strings_match_the_library(vocabulary):
@@ -303,7 +304,30 @@ def test_random_strings_match_the_library(vocabulary):
     rng = np.random.default_rng(0)
     for _ in range(400):
         text = "".join(rng.choice(list("abcdefghij   .,'\néßñ12"), rng.integers(1, 60)))
-        assert [i for part in vocabulary.encode(text) for i in part] == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(vocabulary.encode(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_forget_and_stay_exact(monkeypatch):
+    monkeypatch.setattr(bpe, "_CACHE", 3)
+    monkeypatch.setattr(bpe, "_PAIRS", 5)
+    monkeypatch.setattr(bpe, "_BLOCK", 8)
+    text = "the cat sat on the mat, the other cat <|endoftext|> did not; très bien " * 4
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = np.frombuffer(b"".join(bpe.Vocabulary(bpe.default_tokenizer()).encode(text)), "<u4").tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_query_rows_match_the_library(spark, odd):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for rows in (docs, odd.select("doc_id", "text")):
+        want = []
+        for r in rows.collect():
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            said = library.decode(ids, skip_special_tokens=False).encode()
+            want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said).hexdigest()))
+        got = bpe.encode(rows, bpe.default_tokenizer()).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 def test_encode_odd_rows(spark, odd):
