@@ -43,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder."""
+    """checkpoint() into the shared folder, and lets go of what only earlier plans held.
+
+    Shuffle files and plans are freed as the driver collects garbage, which it would
+    otherwise put off until its heap is full.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:

@@ -225,7 +225,7 @@ def test_held_out_rows(spark, name, column, least):
 
 def test_one_class_only(spark):
     assert quality.train(np.zeros((0, 0)), np.zeros(0), {}).scores(quality.features("x")[None])[0] > quality.THRESHOLD
-    model = toxicity.train(["a b", "c"], np.array([0, 0]), {0: 2})
+    model = toxicity.train([toxicity.sample_of("a b", 0), toxicity.sample_of("c", 0, fold=1)], {0: 2})
     assert model.score(-3.0, 0) < toxicity.THRESHOLD
 
 
