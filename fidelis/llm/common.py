@@ -97,10 +97,11 @@ def with_groups(rows: DataFrame, by: list[str], row: Column, partial: list[Colum
     A salt from a hash of `row` splits each group. `partial` aggregates a group's part,
     `final` aggregates these; the result is spread over the salts that the group has and
     joined by group and salt. So no task gets a whole large group, and no task gets more
-    than `salts` rows of a group's parts.
+    than `salts` rows of a group's parts. The join merges what the aggregates have dealt out
+    already; a hashed copy of the groups on the driver would save little.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     cells = dealt.groupBy(*by, "_salt").agg(*partial)
     groups = cells.groupBy(*by).agg(*final, F.collect_list("_salt").alias("_salts"))
     spread = groups.withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return dealt.join(spread, [*by, "_salt"])
+    return dealt.join(spread.hint("merge"), [*by, "_salt"])

@@ -157,7 +157,7 @@ def classes_of(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(_id, _k, _fp, _root, component_id) of each of `rows` (_id, _k, _fp), for `links` (a, b) of
     values of _fp; _root is one of these from the row's component."""
     prints = cut_lineage(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    linked = prints.join(components(links).withColumnRenamed("node", "_fp"), "_fp", "left").select(
+    linked = prints.join(components(links).withColumnRenamed("node", "_fp").hint("merge"), "_fp", "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
     )
     classes = with_groups(
@@ -165,8 +165,8 @@ def classes_of(rows: DataFrame, links: DataFrame) -> DataFrame:
     ).select("_fp", "_root", "component_id")
     # a fingerprint may have any number of rows: its class goes to each salt that it has
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(64)).cast("int"))
-    spread = dealt.select("_fp", "_salt").distinct().join(classes, "_fp")
-    return dealt.join(spread, ["_fp", "_salt"]).select("_id", "_k", "_fp", "_root", "component_id")
+    spread = dealt.select("_fp", "_salt").distinct().join(classes.hint("merge"), "_fp")
+    return dealt.join(spread.hint("merge"), ["_fp", "_salt"]).select("_id", "_k", "_fp", "_root", "component_id")
 
 
 def _classed(docs: DataFrame, words: int) -> DataFrame:
