@@ -1,8 +1,9 @@
 """Fitted distribution functions of groups, and the statistics that follow from them.
 
-A group of up to `max_points` rows is fitted as it is. A larger one is first summed up, in
-shuffled aggregates, to that many bins of equal counts (means, weighted by counts), so what
-a task holds is bounded whatever the group's size; the fit is then an approximation.
+Statistics come from operators/fits.py, as aggregates over all rows. The analyses, which fit
+a group many times over, take arrays by samples() and fitted(): there a group of over
+`max_points` rows is first summed up, in shuffled aggregates, to that many bins of equal
+counts (means, weighted by counts), and the fit is an approximation.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions import az, fidelity_i, fidelity_j, fininf, inffin, irrelevance_i, irrelevance_j, mz, q_pair, za, zm
+from fidelis.operators import fits as fit_search
 from fidelis.operators import kernels
+from fidelis.operators.lineage import cut
 from fidelis.operators.totals import join_groups, running, valid, with_totals
 
 MAX_POINTS = 128
@@ -106,39 +109,46 @@ def original_bounds(fit: str, form: str) -> tuple[Column, Column]:
     return tuple(back(F.col(f"{fit}.{b}"), F.col(f"{fit}.dlb"), F.col(f"{fit}.dub")) for b in ("lb", "ub"))
 
 
-def estimate(df: DataFrame, column: str, kind: str, keys: list[str] = (), ties: list[str] = (), form: str = "a", points: int = 500, s: float | None = None, max_points: int = MAX_POINTS, robust: bool = False, empirical: bool = False) -> DataFrame:
-    """(keys, n, dlb, dub, lb, ub, s_opt, s_local, loss, z0, residual_entropy, relative_entropy, curve) of each group.
+def estimate(df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None) -> DataFrame:
+    """(keys, n, dlb, dub, lb, ub, s_opt, s_local, loss, z0, residual_entropy, relative_entropy) of each group.
 
-    curve is an array of (di, zi, cdf, pdf). lb and ub are in data units.
+    lb and ub are in data units. For the curve see estimated_curve().
     """
-    rows = fitted(samples(df, column, keys, ties, max_points), kind, form, points, robust, empirical, s)
-    rows = rows.withColumn("z0", z0_of())
-    residual, relative = entropies("fit", F.col("z0"), form)
-    lb, ub = original_bounds("fit", form)
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x).cast("long")
-    curve = F.arrays_zip(*[F.col(f"fit.{c}").alias(c) for c in ("di", "zi", "cdf", "pdf")])
-    return rows.select(
-        *keys, total.alias("n"), "fit.dlb", "fit.dub", lb.alias("lb"), ub.alias("ub"), "fit.s_opt", "fit.s_local", "fit.loss", "z0",
-        residual.alias("residual_entropy"), relative.alias("relative_entropy"), curve.alias("curve"),
-    )
+    rows, fits, keys = _with_z0(df, column, kind, keys, form, points, s)
+    out = join_groups(fits, fit_search.about_z0(rows, fits, keys, form), keys)
+    back = {"a": za, "m": zm}[form]
+    ends = [back(F.col(b), F.col("dlb"), F.col("dub")).alias(b) for b in ("lb", "ub")]
+    return out.select(*keys, "n", "dlb", "dub", *ends, "s_opt", "s_local", "loss", "z0", "residual_entropy", "relative_entropy")
+
 
+def estimated_curve(df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None) -> DataFrame:
+    """(keys, point, di, zi, cdf, pdf) of each group's fitted function."""
+    rows, fits, keys = _with_z0(df, column, kind, keys, form, points, s)
+    return fit_search.curves(rows, fits, keys, kind, form, points, "s_local")
 
-def mean(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", form: str = "a", s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, mean): the local density's maximum."""
-    rows = fitted(samples(df, column, keys, ties, max_points), {"i": "eldf", "j": "qldf"}[case], form, 100, s=s)
-    return rows.select(*keys, z0_of().alias("mean"))
+
+def _with_z0(df: DataFrame, column: str, kind: str, keys: list[str], form: str, points: int, s: float | None):
+    keys = list(keys)
+    rows = fit_search.values_of(df, column, keys)
+    return rows, fit_search.with_z0(rows, fit_search.fit(rows, keys, kind, form, s), keys, kind, form, points, s), keys
 
 
-def median(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", form: str = "a", s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, median): the global density's maximum."""
-    rows = fitted(samples(df, column, keys, ties, max_points), {"i": "egdf", "j": "qgdf"}[case], form, 500, s=s)
-    return rows.select(*keys, z0_of().alias("median"))
+def mean(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+    """(keys, mean): the local density's maximum; of a constant group its value."""
+    _, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s)
+    return fits.select(*keys, F.when(F.col("dlb") == F.col("dub"), F.col("dlb")).otherwise(F.col("z0")).alias("mean"))
 
 
-def variance(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", form: str = "a", s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
+def median(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+    """(keys, median): the global density's maximum; of a constant group its value."""
+    _, fits, keys = _with_z0(df, column, {"i": "egdf", "j": "qgdf"}[case], keys, form, 500, s)
+    return fits.select(*keys, F.when(F.col("dlb") == F.col("dub"), F.col("dlb")).otherwise(F.col("z0")).alias("median"))
+
+
+def variance(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
     """(keys, variance): the mean squared irrelevance about the mean at the local scale."""
-    rows = fitted(samples(df, column, keys, ties, max_points), {"i": "eldf", "j": "qldf"}[case], form, 100, s=s)
-    return rows.select(*keys, mean_square_irrelevance("fit", z0_of(), case, form).alias("variance"))
+    rows, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s)
+    return fit_search.about_z0(rows, fits, keys, form).select(*keys, F.col(f"variance_{case}").alias("variance"))
 
 
 def with_std(rows: DataFrame, case: str = "i", form: str = "a", s: Column | float | None = None) -> DataFrame:
@@ -169,26 +179,46 @@ def with_std(rows: DataFrame, case: str = "i", form: str = "a", s: Column | floa
     ).drop("_local", "_spread", "_global", "_m", "_v", "_r", "_lb", "_ub", "_d")
 
 
-def std(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", form: str = "a", s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, lsd, usd); both are 0 where the variance reaches 1."""
-    return with_std(samples(df, column, keys, ties, max_points), case, form, s).select(*keys, "lsd", "usd")
+def std(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+    """(keys, lsd, usd): the ends of the standard interval about the mean; both are 0 where the variance reaches 1."""
+    keys = list(keys)
+    rows = fit_search.values_of(df, column, keys)
+    estimating = cut(fit_search.fit(rows, keys, "egdf", form, s))
+    local = fit_search.with_z0(rows, estimating, keys, "eldf", form, 100, s)
+    spread = local if case == "i" else fit_search.with_z0(rows, fit_search.fit(rows, keys, "qldf", form, s), keys, "qldf", form, 100, s)
+    squares = fit_search.about_z0(rows, spread, keys, form).select(*keys, F.abs(f"variance_{case}").alias("_v"))
+    out = join_groups(local, squares, keys)
+    forth, back = {"a": (az, za), "m": (mz, zm)}[form]
+    low, high = F.col("dlb"), F.col("dub")
+    out = out.withColumns({"_lb": back(F.col("lb"), low, high), "_ub": back(F.col("ub"), low, high), "_r": F.sqrt("_v")})
+    lb, ub, r, half = F.col("_lb"), F.col("_ub"), F.col("_r"), F.col("s_opt") / 2
+    place = fininf(forth(F.col("z0"), low, high), lb, ub)
+    if case == "i":
+        up, down = (1 + r) / (1 - r + F.lit(1e-6)), (1 - r) / (1 + r + F.lit(1e-6))
+    else:
+        up, down = r + (1 + r), r + (1 - r)
+    ends = [back(inffin(place * F.pow(x, half), lb, ub), low, high) for x in (down, up)]
+    none = (r >= 1) if case == "i" else F.lit(False)
+    reach = (ends[1] - ends[0]) / 2
+    return out.select(*keys, *[F.when(none, 0.0).otherwise(F.col("z0") + sign * reach).alias(n) for n, sign in (("lsd", -1), ("usd", 1))])
 
 
-def entropy(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", form: str = "a", compare: str | None = None, s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, entropy): 1 - mean fidelity, or in case j mean fidelity - 1; of `compare` - column if given.
+def entropy(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", compare: str | None = None, s: float | None = None) -> DataFrame:
+    """(keys, entropy): 1 - mean fidelity over data and places, or in case j mean fidelity - 1; of `compare` - column if given.
 
-    A sample of one value has entropy 0.
+    A constant sample has entropy 0.
     """
+    keys = list(keys)
     x = F.col(column).cast("double") if compare is None else F.col(compare).cast("double") - F.col(column).cast("double")
-    rows = fitted(samples(df.withColumn("_value", x), "_value", keys, ties, max_points), {"i": "egdf", "j": "qgdf"}[case], form, 50, s=s)
-    value = 1 - F.col("fit.mean_f") if case == "i" else F.col("fit.mean_f") - 1
-    return rows.select(*keys, F.when(F.size("data") == 1, 0.0).otherwise(value).alias("entropy"))
+    rows = fit_search.values_of(df.withColumn("_value", x), "_value", keys)
+    fits = fit_search.fit(rows, keys, {"i": "egdf", "j": "qgdf"}[case], form, s)
+    return fits.select(*keys, ((1 - F.col("mean_f")) if case == "i" else (F.col("mean_f") - 1)).alias("entropy"))
 
 
-def error_means(df: DataFrame, y: str, predicted: str, keys: list[str] = (), ties: list[str] = (), max_points: int = MAX_POINTS) -> DataFrame:
+def error_means(df: DataFrame, y: str, predicted: str, keys: list[str] = ()) -> DataFrame:
     """(keys, mae, mse, rmse): robust means of absolute and squared errors."""
     e = F.col(y).cast("double") - F.col(predicted).cast("double")
     rows = df.withColumns({"_abs": F.abs(e), "_square": e * e})
-    a = mean(rows, "_abs", keys, ties, max_points=max_points).withColumnRenamed("mean", "mae")
-    b = mean(rows, "_square", keys, ties, max_points=max_points).withColumnRenamed("mean", "mse")
+    a = mean(rows, "_abs", keys).withColumnRenamed("mean", "mae")
+    b = mean(rows, "_square", keys).withColumnRenamed("mean", "mse")
     return join_groups(a, b, list(keys)).withColumn("rmse", F.sqrt("mse"))

@@ -1,4 +1,4 @@
-"""Queries over fitted distribution functions; SQL cannot express the fits, tests hold them to their definitions."""
+"""Queries over fitted distribution functions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.operators import analysis, distributions
+from fidelis.plans import fit_sql, sql
 from fidelis.sources.tables import table
 
 
@@ -15,27 +16,26 @@ def _balances(spark: SparkSession, sf: str) -> DataFrame:
 
 def _auto(kind: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        out = distributions.estimate(_balances(spark, sf), "c_acctbal", kind, ["c_mktsegment"], ["c_custkey"], points=200)
-        return out.withColumn("curve", F.to_json("curve"))
+        return distributions.estimate(_balances(spark, sf), "c_acctbal", kind, ["c_mktsegment"], points=200)
 
     return query
 
 
 def _statistic(f, **more):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return f(_balances(spark, sf), "c_acctbal", ["c_nationkey"], ["c_custkey"], **more)
+        return f(_balances(spark, sf), "c_acctbal", ["c_nationkey"], **more)
 
     return query
 
 
 def prices_m(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
-    return distributions.mean(rows, "p_retailprice", ["p_brand"], ["p_partkey"], form="m")
+    return distributions.mean(rows, "p_retailprice", ["p_brand"], form="m")
 
 
 def error_means(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", (F.col("l_quantity") * 1500).alias("p"))
-    return distributions.error_means(rows, "l_extendedprice", "p", ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    return distributions.error_means(rows, "l_extendedprice", "p", ["l_returnflag"])
 
 
 def _small(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,19 +72,40 @@ def local_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.assign_clusters(rows, found, "c_acctbal", ["c_mktsegment"])
 
 
+_BALANCE = "SELECT c_nationkey, c_acctbal AS x FROM customer"
+_SEGMENT = "SELECT c_mktsegment, c_acctbal AS x FROM customer"
+
+
+def _auto_sql(kind: str) -> str:
+    fi, fj = sql.fi("r", "s"), sql.fj("r", "s")
+    what = f"2 * (avg({fj}) - 1) AS residual_entropy, avg(({fj} - {fi}) / ({fj} + {fi})) AS relative_entropy"
+    extra = f"n, dlb, dub, {fit_sql.data_bounds()}, s AS s_opt, s_local, loss, z0, "
+    return fit_sql.whole(_SEGMENT, "c_mktsegment", kind, "a", 200, fit_sql.about_z0("c_mktsegment", "a", what, extra))
+
+
+def _z0_sql(kind: str, name: str, points: int) -> str:
+    return fit_sql.whole(_BALANCE, "c_nationkey", kind, "a", points, f"SELECT c_nationkey, z0 AS {name} FROM tops")
+
+
+_PRICES = fit_sql.whole("SELECT p_brand, p_retailprice AS x FROM part", "p_brand", "eldf", "m", 100, "SELECT p_brand, z0 AS mean FROM tops")
+_VARIANCE = fit_sql.whole(
+    _BALANCE, "c_nationkey", "eldf", "a", 100, fit_sql.about_z0("c_nationkey", "a", f"avg(pow({sql.hi('r', 's_local')}, 2)) AS variance")
+)
+_ENTROPY = f"WITH {fit_sql.fit(_BALANCE, 'c_nationkey', 'egdf')}\nSELECT c_nationkey, 1 - mean_f AS entropy FROM fitted"
+
 QUERIES = {
-    **{f"{k}_auto": (_auto(k), None) for k in ("egdf", "eldf", "qgdf", "qldf")},
-    "mean": (_statistic(distributions.mean), None),
-    "mean_j": (_statistic(distributions.mean, case="j"), None),
-    "mean_m": (prices_m, None),
-    "median": (_statistic(distributions.median), None),
-    "variance": (_statistic(distributions.variance), None),
+    **{f"{k}_auto": (_auto(k), _auto_sql(k)) for k in ("egdf", "eldf", "qgdf", "qldf")},
+    "mean": (_statistic(distributions.mean), _z0_sql("eldf", "mean", 100)),
+    "mean_j": (_statistic(distributions.mean, case="j"), _z0_sql("qldf", "mean", 100)),
+    "mean_m": (prices_m, _PRICES),
+    "median": (_statistic(distributions.median), _z0_sql("egdf", "median", 500)),
+    "variance": (_statistic(distributions.variance), _VARIANCE),
     "std": (_statistic(distributions.std), None),
-    "entropy": (_statistic(distributions.entropy), None),
+    "entropy": (_statistic(distributions.entropy), _ENTROPY),
     "error_means": (error_means, None),
-    "homogeneity": (_statistic(analysis.homogeneity, points=200), None),
-    "scedasticity": (_statistic(analysis.scedasticity, max_points=48), None),
-    "cluster_analysis": (_statistic(analysis.cluster_analysis, points=200), None),
+    "homogeneity": (_statistic(analysis.homogeneity, ties=["c_custkey"], points=200), None),
+    "scedasticity": (_statistic(analysis.scedasticity, ties=["c_custkey"], max_points=48), None),
+    "cluster_analysis": (_statistic(analysis.cluster_analysis, ties=["c_custkey"], points=200), None),
     "membership": (membership, None),
     "interval_analysis": (interval_analysis, None),
     "stationarity": (stationarity, None),
