@@ -10,7 +10,7 @@ from fidelis import functions as G
 from fidelis.models import forecasting, regression, selection
 from fidelis.models.clustering import KMeansClustering, score
 from fidelis.models.robust import Model
-from fidelis.operators import classification, distributions, kernels, metrics, silhouette
+from fidelis.operators import classification, distributions, fits, kernels, metrics, silhouette
 from fidelis.operators.totals import exact_median
 from fidelis.sources import datasets
 
@@ -94,6 +94,27 @@ def test_search_beats_a_grid():
                 assert fit["loss"] <= np.abs(kernels.distribution("egdf", f, h, np.ones(40)) - target).max() + 1e-6
 
 
+@pytest.mark.parametrize("kind", ["egdf", "qgdf"])
+def test_rounds_reach_a_low_loss(spark, kind):
+    rng = np.random.default_rng(4)
+    samples = {"normal": rng.normal(5, 2, 40), "skewed": rng.exponential(3, 30), "two": np.concatenate([rng.normal(0, 1, 12), rng.normal(20, 1, 9)]), "outlier": np.array(OUTLIER, float)}
+    frame = spark.createDataFrame([(k, float(x)) for k, xs in samples.items() for x in xs] + [("one", 4.0)], "k string, x double")
+    got = {r["k"]: r for r in fits.fit(fits.values_of(frame, "x", ["k"]), ["k"], kind).collect()}
+    assert got["one"]["loss"] is None and got["one"]["s_opt"] == 1.0
+    for k, xs in samples.items():
+        z = kernels.to_z(np.sort(xs), xs.min(), xs.max(), "a")
+        f, h = kernels.f_and_h(kind, got[k]["s_opt"], got[k]["lb"], got[k]["ub"], z, z)
+        own = np.abs(kernels.distribution(kind, f, h, np.ones(len(xs))) - (np.arange(len(xs)) + 0.5) / len(xs)).max()
+        assert got[k]["loss"] == pytest.approx(own, abs=1e-9)  # the loss is that of the definition
+        assert own <= kernels.fit(kind, xs)["loss"] + 0.02
+
+
+def test_places_of_a_large_group(spark):
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("_x"))
+    found = fits.places(rows, [], 5).first()
+    assert [(p["x"], p["target"]) for p in found["_places"]] == [(0.0, 0.0005), (249.0, 0.2495), (499.0, 0.4995), (749.0, 0.7495), (999.0, 0.9995)]
+
+
 def test_variance_of_five(spark):
     got = distributions.variance(_frame(spark, [1, 2, 3, 4, 5]), "x").first()["variance"]
     assert 0.5 < got < 0.75
