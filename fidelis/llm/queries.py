@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, neighbours, quality, sharding, simhash, toxicity
+from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, neighbours, pieces, quality, sharding, simhash, toxicity
 from fidelis.llm.common import held_out, table
 
 
@@ -77,6 +77,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_neighbours,
         op10_bpe,
+        op11_pieces,
     )
 }
 
