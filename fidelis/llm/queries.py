@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, neighbours, pieces, quality, sharding, simhash, toxicity
+from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, negatives, neighbours, pieces, quality, sharding, simhash, toxicity
 from fidelis.llm.common import held_out, table
 
 
@@ -81,6 +81,12 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings"), moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_neighbours,
         op10_bpe,
         op11_pieces,
+        op12_hard_negatives,
     )
 }
 
@@ -131,10 +138,33 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= {neighbours.K}
 """
 
+_NEGATIVES = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS alike, list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.id % {negatives.EVERY} = 0 AND c.id <> a.id AND len(a.e) = len(c.e)
+),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}),
+n AS (
+  SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.alike AND {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": _CHAT,
     "op2_sharding": sharding.oracle(),
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.oracle(),
     "op9_neighbours": _NEIGHBOURS,
+    "op12_hard_negatives": _NEGATIVES,
 }
