@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, negatives, neighbours, pieces, quality, sharding, simhash, toxicity
+from fidelis.llm import bpe, chat_format, exact_dedup, language_id, mixing, negatives, neighbours, pieces, quality, sharding, simhash, toxicity, whitening
 from fidelis.llm.common import held_out, table
 
 
@@ -87,6 +87,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), moved)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe,
         op11_pieces,
         op12_hard_negatives,
+        op13_whitening,
     )
 }
 
