@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from fidelis.functions import az, fidelity_i, fidelity_j, fininf, inffin, irrelevance_i, irrelevance_j, mz, q_pair, za, zm
 from fidelis.operators import fits as fit_search
 from fidelis.operators import kernels
-from fidelis.operators.lineage import cut
 from fidelis.operators.totals import join_groups, running, valid, with_totals
 
 MAX_POINTS = 128
-EPS = kernels.EPS
+EPS, PLACES = kernels.EPS, fit_search.PLACES
 
 
 def samples(df: DataFrame, column: str, keys: list[str], ties: list[str] = (), max_points: int = MAX_POINTS, least: int = 1) -> DataFrame:
@@ -109,46 +108,105 @@ def original_bounds(fit: str, form: str) -> tuple[Column, Column]:
     return tuple(back(F.col(f"{fit}.{b}"), F.col(f"{fit}.dlb"), F.col(f"{fit}.dub")) for b in ("lb", "ub"))
 
 
-def estimate(df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None) -> DataFrame:
+def estimate(
+    df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, n, dlb, dub, lb, ub, s_opt, s_local, loss, z0, residual_entropy, relative_entropy) of each group.
 
     lb and ub are in data units. For the curve see estimated_curve().
     """
-    rows, fits, keys = _with_z0(df, column, kind, keys, form, points, s)
-    out = join_groups(fits, fit_search.about_z0(rows, fits, keys, form), keys)
+    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count)
+    out = join_groups(fits, fit_search.about_z0(sample, fits, form), keys)
     back = {"a": za, "m": zm}[form]
     ends = [back(F.col(b), F.col("dlb"), F.col("dub")).alias(b) for b in ("lb", "ub")]
     return out.select(*keys, "n", "dlb", "dub", *ends, "s_opt", "s_local", "loss", "z0", "residual_entropy", "relative_entropy")
 
 
-def estimated_curve(df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None) -> DataFrame:
+def estimated_curve(
+    df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, point, di, zi, cdf, pdf) of each group's fitted function."""
-    rows, fits, keys = _with_z0(df, column, kind, keys, form, points, s)
-    return fit_search.curves(rows, fits, keys, kind, form, points, "s_local")
+    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count)
+    return fit_search.curves(sample, fits, kind, form, points, "s_local").drop("s")
 
 
-def _with_z0(df: DataFrame, column: str, kind: str, keys: list[str], form: str, points: int, s: float | None):
-    keys = list(keys)
-    rows = fit_search.values_of(df, column, keys)
-    return rows, fit_search.with_z0(rows, fit_search.fit(rows, keys, kind, form, s), keys, kind, form, points, s), keys
+def _with_z0(df: DataFrame, column: str, kind: str, keys: list[str], form: str, points: int, s: float | None, weight: str | None, count: int | None):
+    sample = fit_search.sample(df, column, keys, weight, count)
+    return sample, fit_search.with_z0(sample, fit_search.fit(sample, kind, form, s), kind, form, points, s), sample.keys
+
 
+def _place(fits: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return fits.select(*keys, F.when(F.col("dlb") == F.col("dub"), F.col("dlb")).otherwise(F.col("z0")).alias(name))
 
-def mean(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+
+def mean(
+    df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, mean): the local density's maximum; of a constant group its value."""
-    _, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s)
-    return fits.select(*keys, F.when(F.col("dlb") == F.col("dub"), F.col("dlb")).otherwise(F.col("z0")).alias("mean"))
+    _, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s, weight, count)
+    return _place(fits, keys, "mean")
 
 
-def median(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+def median(
+    df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, median): the global density's maximum; of a constant group its value."""
-    _, fits, keys = _with_z0(df, column, {"i": "egdf", "j": "qgdf"}[case], keys, form, 500, s)
-    return fits.select(*keys, F.when(F.col("dlb") == F.col("dub"), F.col("dlb")).otherwise(F.col("z0")).alias("median"))
+    _, fits, keys = _with_z0(df, column, {"i": "egdf", "j": "qgdf"}[case], keys, form, 500, s, weight, count)
+    return _place(fits, keys, "median")
 
 
-def variance(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+def variance(
+    df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, variance): the mean squared irrelevance about the mean at the local scale."""
-    rows, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s)
-    return fit_search.about_z0(rows, fits, keys, form).select(*keys, F.col(f"variance_{case}").alias("variance"))
+    sample, fits, keys = _with_z0(df, column, {"i": "eldf", "j": "qldf"}[case], keys, form, 100, s, weight, count)
+    return fit_search.about_z0(sample, fits, form).select(*keys, F.col(f"variance_{case}").alias("variance"))
+
+
+def varying_scale(
+    df: DataFrame, column: str, kind: str = "eldf", keys: list[str] = (), form: str = "a", points: int = 1000,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
+    """(keys, n, s0, gamma, score, s_low, s_high, heteroscedastic, z0): a local function whose scale varies with the datum.
+
+    The scale of a datum is s0 exp(gamma z), z being it in the infinite domain, in tenths (see
+    fits.varying()). s_low and s_high are those of the least and the greatest datum; as the
+    scale rises or falls throughout, the group is homoscedastic if they are equal. z0 is the
+    place of the greatest density at these scales. kind is eldf or qldf.
+    """
+    sample, fits = _varied(df, column, kind, keys, form, weight, count)
+    curve = fit_search.curves(sample, fits, kind, form, points, "s0", "gamma")
+    return fit_search.with_tops(_with_ends(fits, form), curve, sample.keys, points).select(
+        *sample.keys, "n", "s0", "gamma", "score", "s_low", "s_high", (F.col("s_low") != F.col("s_high")).alias("heteroscedastic"), "z0"
+    )
+
+
+def varying_curve(
+    df: DataFrame, column: str, kind: str = "eldf", keys: list[str] = (), form: str = "a", points: int = 1000,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
+    """(keys, point, di, zi, s, cdf, pdf) of the function of varying_scale(), s being the scale at a place."""
+    sample, fits = _varied(df, column, kind, keys, form, weight, count)
+    return fit_search.curves(sample, fits, kind, form, points, "s0", "gamma")
+
+
+def _varied(df: DataFrame, column: str, kind: str, keys: list[str], form: str, weight: str | None, count: int | None):
+    if kind not in ("eldf", "qldf"):
+        raise ValueError("only local functions have a varying scale")
+    sample = fit_search.sample(df, column, keys, weight, count)
+    return sample, fit_search.varying(sample, fit_search.fit(sample, kind, form), kind, form)
+
+
+def _with_ends(fits: DataFrame, form: str) -> DataFrame:
+    z = {"a": az, "m": mz}[form]
+    at = lambda x: fininf(z(F.col(x), F.col("dlb"), F.col("dub")), F.col("lb"), F.col("ub"))
+    scale = lambda x: fit_search.tenths(F.col("s0") * F.exp(F.col("gamma") * at(x)))
+    return fits.withColumns({"s_low": scale("dlb"), "s_high": scale("dub")})
 
 
 def with_std(rows: DataFrame, case: str = "i", form: str = "a", s: Column | float | None = None) -> DataFrame:
@@ -179,14 +237,16 @@ def with_std(rows: DataFrame, case: str = "i", form: str = "a", s: Column | floa
     ).drop("_local", "_spread", "_global", "_m", "_v", "_r", "_lb", "_ub", "_d")
 
 
-def std(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None) -> DataFrame:
+def std(
+    df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, lsd, usd): the ends of the standard interval about the mean; both are 0 where the variance reaches 1."""
     keys = list(keys)
-    rows = fit_search.values_of(df, column, keys)
-    estimating = cut(fit_search.fit(rows, keys, "egdf", form, s))
-    local = fit_search.with_z0(rows, estimating, keys, "eldf", form, 100, s)
-    spread = local if case == "i" else fit_search.with_z0(rows, fit_search.fit(rows, keys, "qldf", form, s), keys, "qldf", form, 100, s)
-    squares = fit_search.about_z0(rows, spread, keys, form).select(*keys, F.abs(f"variance_{case}").alias("_v"))
+    sample = fit_search.sample(df, column, keys, weight, count)
+    local = fit_search.with_z0(sample, fit_search.fit(sample, "egdf", form, s), "eldf", form, 100, s)
+    spread = local if case == "i" else fit_search.with_z0(sample, fit_search.fit(sample, "qldf", form, s), "qldf", form, 100, s)
+    squares = fit_search.about_z0(sample, spread, form).select(*keys, F.abs(f"variance_{case}").alias("_v"))
     out = join_groups(local, squares, keys)
     forth, back = {"a": (az, za), "m": (mz, zm)}[form]
     low, high = F.col("dlb"), F.col("dub")
@@ -203,22 +263,25 @@ def std(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form:
     return out.select(*keys, *[F.when(none, 0.0).otherwise(F.col("z0") + sign * reach).alias(n) for n, sign in (("lsd", -1), ("usd", 1))])
 
 
-def entropy(df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", compare: str | None = None, s: float | None = None) -> DataFrame:
+def entropy(
+    df: DataFrame, column: str, keys: list[str] = (), case: str = "i", form: str = "a", compare: str | None = None, s: float | None = None,
+    weight: str | None = None, count: int | None = PLACES,
+) -> DataFrame:
     """(keys, entropy): 1 - mean fidelity over data and places, or in case j mean fidelity - 1; of `compare` - column if given.
 
     A constant sample has entropy 0.
     """
     keys = list(keys)
     x = F.col(column).cast("double") if compare is None else F.col(compare).cast("double") - F.col(column).cast("double")
-    rows = fit_search.values_of(df.withColumn("_value", x), "_value", keys)
-    fits = fit_search.fit(rows, keys, {"i": "egdf", "j": "qgdf"}[case], form, s)
+    sample = fit_search.sample(df.withColumn("_value", x), "_value", keys, weight, count)
+    fits = fit_search.fit(sample, {"i": "egdf", "j": "qgdf"}[case], form, s)
     return fits.select(*keys, ((1 - F.col("mean_f")) if case == "i" else (F.col("mean_f") - 1)).alias("entropy"))
 
 
-def error_means(df: DataFrame, y: str, predicted: str, keys: list[str] = ()) -> DataFrame:
+def error_means(df: DataFrame, y: str, predicted: str, keys: list[str] = (), count: int | None = PLACES) -> DataFrame:
     """(keys, mae, mse, rmse): robust means of absolute and squared errors."""
     e = F.col(y).cast("double") - F.col(predicted).cast("double")
     rows = df.withColumns({"_abs": F.abs(e), "_square": e * e})
-    a = mean(rows, "_abs", keys).withColumnRenamed("mean", "mae")
-    b = mean(rows, "_square", keys).withColumnRenamed("mean", "mse")
+    a = mean(rows, "_abs", keys, count=count).withColumnRenamed("mean", "mae")
+    b = mean(rows, "_square", keys, count=count).withColumnRenamed("mean", "mse")
     return join_groups(a, b, list(keys)).withColumn("rmse", F.sqrt("mse"))

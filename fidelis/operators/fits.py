@@ -1,31 +1,39 @@
 """Fits of groups' distribution functions as aggregates: no group is held in a task.
 
+A group's values are counted, ranked and dealt into chunks of bounded size once (see sample()).
 The loss of a candidate (scale and bounds) is the greatest distance between the function
 and the mid-rank function. Means of fidelity and irrelevance run over all rows of a group;
-they are taken at up to PLACES of its values, evenly spread over the ranks: at every value
-of a group of no more than PLACES rows. A coarse grid of candidates, then a cube of
-candidates about the best one in a fixed number of rounds, are summed up side by side: a
-round costs rows times places times candidates, and shuffles one row a task and sum.
+they are taken at up to `count` of its rows, evenly spread over the ranks: at every row of a
+group of no more than that. A coarse grid of candidates, then a cube of candidates about
+the best one in a fixed number of rounds, are summed up side by side: a chunk meets all places
+of all candidates in one task and leaves a row of sums for each, which Spark adds up. The
+rounds follow each other in one plan, without an action in between.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 from pyspark.sql.window import Window
 
 from fidelis.functions import az, fidelity_i, fidelity_j, fininf, gnostic_scale, irrelevance_i, irrelevance_j, mz, q_pair
 from fidelis.functions.characteristics import MAX_EXPONENT, R_EPS, R_MAX
+from fidelis.functions.convert import EPS as Z_EPS
 from fidelis.operators.lineage import cut
-from fidelis.operators.totals import exact_median, join_groups, running, valid, with_totals
+from fidelis.operators.totals import join_groups, running_sums, valid, with_totals
 
 EPS, PLACES = sys.float_info.epsilon, 64
-#: Bytes of a place of a candidate, and how many of a round's may be broadcast.
-GRID_BYTES, BROADCAST_BYTES = 56, 128 << 20
+#: Values of a chunk, sums held by a task before it passes them on, and bytes of the groups' side that may be broadcast.
+CHUNK, HELD, BROADCAST_BYTES = 512, 1 << 21, 128 << 20
 #: Exponents stay where sums of their powers are finite.
 Y_MAX = MAX_EXPONENT - 20
 #: The box that scale and bounds are searched in.
@@ -34,6 +42,11 @@ BOX = {"s": (0.1, 10.0), "lb": (1e-6, math.exp(-1.000001)), "ub": (math.exp(1.00
 COARSE = {"s": (0.2, 0.4, 0.7, 1.0, 1.6, 3.0), "lb": (0.01, 0.1353, 0.3), "ub": (3.0, 7.389, 100.0)}
 ROUNDS = ((0.28, 1.0), (0.12, 0.45), (0.05, 0.2), (0.02, 0.09))
 START_S = 0.5
+#: Varying scale S0 exp(gamma z): its box, start, coarse grid, and the steps (log of S0, gamma) of its rounds.
+VARYING_BOX, VARYING_START = ((1e-3, 10.0), (-2.0, 2.0)), (2.0, 0.0)
+VARYING_COARSE = ((0.1, 0.2, 0.4, 0.7, 1.0, 1.6, 2.5, 4.0, 6.5, 10.0), (-2.0, -1.0, -0.5, -0.2, -0.05, 0.0, 0.05, 0.2, 0.5, 1.0, 2.0))
+VARYING_ROUNDS = ((0.25, 0.2), (0.12, 0.08), (0.05, 0.03), (0.02, 0.01))
+LEAST_SCALE = 0.1
 #: Losses are compared to this many digits; the first of equal candidates wins.
 DIGITS = 10
 
@@ -42,29 +55,78 @@ def _convert(form: str):
     return {"a": az, "m": mz}[form]
 
 
-def values_of(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(keys, _x): the values that take part; nulls, NaN and infinite values do not."""
-    rows = valid(df.select(*keys, F.col(column).cast("double").alias("_x")), "_x")
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    # a row is worth thousands of terms: few files would leave most of the cluster idle
-    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks, *keys, "_x")
+@dataclass
+class Sample:
+    """A column's groups, laid out for fits.
 
+    `chunks` has the keys, and arrays _xs, _cs and _ws of distinct values, their counts and
+    weights; `groups` has the keys, n, dlb, dub, median and _places, an array of (p, x, target,
+    weight). Both are checkpointed; `held` is the size of the groups' side in bytes.
+    """
+
+    chunks: DataFrame
+    groups: DataFrame
+    keys: list[str]
+    held: int
+
+    def rows(self) -> DataFrame:
+        """(keys, _x, _c, _w) of distinct values."""
+        each = self.chunks.select(*self.keys, F.explode(F.arrays_zip("_xs", "_cs", "_ws")).alias("_e"))
+        return each.select(*self.keys, F.col("_e._xs").alias("_x"), F.col("_e._cs").alias("_c"), F.col("_e._ws").alias("_w"))
+
+    def sided(self, groups: DataFrame) -> DataFrame:
+        return F.broadcast(groups) if self.held <= BROADCAST_BYTES else groups
 
-def places(rows: DataFrame, keys: list[str], count: int = PLACES) -> DataFrame:
-    """(keys, n, dlb, dub, _places): each group's size, ends and an array of (p, x, target).
 
-    Of n values those of the ranks floor(p (n - 1) / (m - 1)) + 1, for p below m, the lesser
-    of n and `count`; target is the mid-rank (rank - 1/2) / n.
+def sample(df: DataFrame, column: str, keys: list[str] = (), weight: str | None = None, count: int | None = PLACES) -> Sample:
+    """The groups of a column. Nulls, NaN and infinite values take no part, nor do rows whose
+    `weight` is null, NaN, infinite or negative; a weight of zero leaves a row its rank.
+
+    `count` is the number of places (see places()), None for all rows.
+    """
+    keys = list(keys)
+    weighed = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = valid(df.select(*keys, F.col(column).cast("double").alias("_x"), weighed.alias("_w")), "_x", "_w").filter("_w >= 0")
+    counted = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"), F.sum("_w").alias("_w"))
+    sums = {"_kc": F.col("_c"), "_kw": F.col("_w"), "_i": F.lit(1)}
+    ranked = running_sums(counted, keys, "_x", sums, [])
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    dealt = ranked.groupBy(*keys, F.floor((F.col("_i") - 1) / CHUNK).alias("_chunk")).agg(F.collect_list(F.struct("_x", "_c", "_w")).alias("_p"))
+    arrays = [F.col(f"_p.{c}").alias(f"{c}s") for c in ("_x", "_c", "_w")]
+    chunks = cut(dealt.select(*keys, *arrays).repartition(tasks))
+    groups = cut(places(ranked, keys, count))
+    size = groups.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
+    return Sample(chunks, groups, keys, 32 * (size["p"] or 0) + 4096 * size["g"])
+
+
+def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> DataFrame:
+    """(keys, n, dlb, dub, median, _places): each group's size, ends, median and an array of (p, x, target, weight).
+
+    `ranked` has distinct values _x, their counts _c and weights _w, and running sums _kc and
+    _kw of these. Of n rows those of the ranks floor(p (n - 1) / (m - 1)) + 1, for p below m,
+    the lesser of n and `count`, are places; target is the weighted mid-rank: of equal weights
+    (rank - 1/2) / n. Rows of equal values share their weights alike.
     """
-    ranked = with_totals(
-        running(rows, keys, "_x", F.lit(1), "_k", []), keys, F.count("*").alias("n"), F.min("_x").alias("dlb"), F.max("_x").alias("dub")
+    whole = with_totals(
+        ranked, keys, F.sum("_c").alias("n"), F.sum("_w").alias("_all"), F.min("_x").alias("dlb"), F.max("_x").alias("dub")
     )
-    before, steps = F.col("_k").cast("long") - 1, F.least("n", F.lit(count)) - 1
-    last = F.greatest(F.col("n") - 1, F.lit(1))
-    p = F.expr("0L") + F.floor((before * steps + last - 1) / last)
-    kept = ranked.withColumn("p", p.cast("long")).filter(F.floor(F.col("p") * last / F.greatest(steps, F.lit(1))) == before)
-    place = F.struct("p", F.col("_x").alias("x"), ((F.col("_k") - 0.5) / F.col("n")).alias("target"))
-    return kept.groupBy(*keys, "n", "dlb", "dub").agg(F.sort_array(F.collect_list(place)).alias("_places"))
+    c, b, n = F.col("_c"), F.col("_kc") - F.col("_c"), F.col("n")
+    steps = (n if count is None else F.least(n, F.lit(count))) - 1
+    last = F.greatest(n - 1, F.lit(1))
+    upward = lambda x: F.floor((x * steps + last - 1) / last).cast("long") if count is not None else x
+    # a single place is that of the first row
+    to = F.when(steps == 0, F.when(b == 0, 0).otherwise(-1)).otherwise(F.least(steps, upward(b + c) - 1))
+    rank = F.floor(F.col("p") * last / F.greatest(steps, F.lit(1))).cast("long") if count is not None else F.col("p")
+    own = F.col("_w") / c
+    target = (F.col("_kw") - F.col("_w") + (rank + 0.5 - b) * own) / F.col("_all")
+    kept = whole.withColumn("p", F.explode(F.when(upward(b) <= to, F.sequence(upward(b), to))))
+    spots = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", F.col("_x").alias("x"), target.alias("target"), own.alias("weight")))).alias("_places"))
+    covers = lambda r: (F.col("_kc") >= r) & (b < r)
+    low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+    middle = (F.max(F.when(covers(low), F.col("_x"))) + F.max(F.when(covers(high), F.col("_x")))) / 2
+    ends = whole.groupBy(*keys, "n", "dlb", "dub").agg(middle.alias("median"))
+    return join_groups(ends, spots, keys)
 
 
 def start_bounds(form: str) -> tuple[Column, Column]:
@@ -75,10 +137,9 @@ def start_bounds(form: str) -> tuple[Column, Column]:
     return tuple(_convert(form)(x, low, high) for x in ends)
 
 
-def _listed(rows: list[tuple]) -> Column:
-    """A constant array of (c, s, lb, ub), numbered by c."""
-    names = ("s", "lb", "ub")
-    return F.array(*[F.struct(F.lit(c).alias("c"), *[F.lit(float(v)).alias(n) for n, v in zip(names, row, strict=True)]) for c, row in enumerate(rows)])
+def _listed(values: list[float]) -> Column:
+    """A constant array; as text it is one call to the JVM and not one for each value."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def coarse(s: float | None) -> list[tuple]:
@@ -92,41 +153,135 @@ def cube(s: float | None, step: tuple[float, float]) -> list[tuple]:
     return list(product([math.exp(-step[0]), 1.0, math.exp(step[0])] if s is None else [1.0], sides, sides))
 
 
-def _coarse(s: float | None, form: str) -> Column:
-    lb, ub = start_bounds(form)
+def _coarse(s: float | None, form: str) -> dict[str, Column]:
+    """Arrays of the first round's candidates by name; the first candidate has each group's start bounds."""
+    rest = list(zip(*coarse(s), strict=True))
+    starts = (None, *start_bounds(form))
+    named = {n: _listed(rest[i]) if starts[i] is None else F.concat(F.array(starts[i]), _listed(rest[i][1:])) for i, n in enumerate(BOX)}
+    return named | {"g": _listed([0.0] * len(rest[0]))}
+
 
-    def own(x: Column) -> Column:
-        first = x["c"] == 0
-        return F.struct(x["c"].alias("c"), x["s"].alias("s"), F.when(first, lb).otherwise(x["lb"]).alias("lb"), F.when(first, ub).otherwise(x["ub"]).alias("ub"))
+def _cube(s: float | None, step: tuple[float, float]) -> dict[str, Column]:
+    """Arrays of a later round's candidates, about _best."""
+    factors, out = list(zip(*cube(s, step), strict=True)), {}
+    for i, (n, (low, high)) in enumerate(BOX.items()):
+        best = F.col(f"_best.{n}")
+        moved = F.transform(_listed(factors[i]), _times(best))
+        out[n] = moved if n == "s" and s is not None else _within(moved, low, high)
+    return out | {"g": _listed([0.0] * len(factors[0]))}
 
-    return F.transform(_listed(coarse(s)), own)
 
+def _times(factor: Column) -> Callable[[Column], Column]:
+    return lambda x: factor * x
 
-def _cube(s: float | None, step: tuple[float, float]) -> Column:
-    def own(x: Column) -> Column:
-        moved = {n: F.col(f"_best.{n}") * x[n] for n in BOX}
-        inside = {n: v if n == "s" and s is not None else F.greatest(F.lit(BOX[n][0]), F.least(F.lit(BOX[n][1]), v)) for n, v in moved.items()}
-        return F.struct(x["c"].alias("c"), *[v.alias(n) for n, v in inside.items()])
 
-    return F.transform(_listed(cube(s, step)), own)
+def _within(array: Column, low: float, high: float) -> Column:
+    return F.transform(array, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def _moments(met: DataFrame, by: list[str], z: Column, at: Column, s: Column, lb: Column, ub: Column, estimating: bool) -> DataFrame:
-    return _means(met, by, F.try_divide(fininf(z, lb, ub), fininf(at, lb, ub) + F.lit(EPS)), s, estimating)
+def _terms(estimating: bool, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 / cosh and tanh of y, or cosh and sinh, by one exponential."""
+    if estimating:
+        e = np.exp(-np.abs(y))
+        square = e * e
+        return 2 * e / (1 + square), np.copysign((1 - square) / (1 + square), y)
+    e = np.exp(y)
+    return (e + 1 / e) / 2, (e - 1 / e) / 2
 
 
-def _means(met: DataFrame, by: list[str], ratio: Column, s: Column, estimating: bool, products: bool = True) -> DataFrame:
-    """Means of fidelity and irrelevance (and of products) over the rows of each of `by`.
+def _chunk_sums(xs, ws, low, high, candidates, at, form: str, estimating: bool, rounded: bool, products: bool) -> np.ndarray:
+    """(candidate, place, sum): weighted sums of f, h, f^2, f h, and weights, over a chunk's values.
 
-    With q = R^(2/S) = exp(y) they are 1 / cosh(y) and tanh(y), or cosh(y) and sinh(y): short
-    enough for the JVM to compile the loop over terms.
+    With q = R^(2/S) = exp(y), R = z_i / z_p in the infinite domain, f and h are as in
+    _terms(). The logarithm of R is taken once for all scales at the same bounds.
     """
-    log_r = F.log(F.least(F.abs(ratio) + F.lit(R_EPS), F.lit(R_MAX)))
-    y = F.greatest(F.lit(-Y_MAX), F.least(F.lit(Y_MAX), 2 / s * log_r))
-    f, h = (1 / F.cosh("_y"), F.tanh("_y")) if estimating else (F.cosh("_y"), F.sinh("_y"))
-    valued = met.select(*by, y.alias("_y")).select(*by, f.alias("_f"), h.alias("_h"))
-    more = [F.avg(F.col("_f") * F.col("_f")).alias("f2"), F.avg(F.col("_f") * F.col("_h")).alias("fh")] if products else []
-    return valued.groupBy(*by).agg(F.avg("_f").alias("f"), F.avg("_h").alias("h"), *more)
+    with np.errstate(all="ignore"):
+        to_z = (lambda x: np.exp((2 * x - high - low) / ((high - low) + Z_EPS))) if form == "a" else (lambda x: np.exp(2 * np.log(x / low) / np.log(high / low) - 1))
+        zs, zp = to_z(xs), to_z(at)
+        known = ~np.isnan(zs)  # outside the domain of the form
+        zs, ws = zs[known], ws[known]
+        out = np.zeros((len(candidates), len(at), 5))
+        out[:, :, 4] = ws.sum()
+        by_bounds: dict[tuple, list[int]] = {}
+        for c, (_, lb, ub, _) in enumerate(candidates):
+            by_bounds.setdefault((lb, ub), []).append(c)
+        for (lb, ub), own in by_bounds.items():
+            inner = lambda z, lb=lb, ub=ub: (z - lb) / (1 - z / ub + Z_EPS)
+            place = inner(zp)
+            logs = np.log(np.minimum(np.abs(inner(zs)[:, None] / (place + EPS)[None]) + R_EPS, R_MAX))
+            for c in own:
+                s, _, _, g = candidates[c]
+                scale = s if not g and not rounded else s * np.exp(g * place)
+                if rounded:
+                    scale = np.maximum(np.floor(scale * 10 + 0.5) / 10, LEAST_SCALE)
+                f, h = _terms(estimating, np.clip(2 / scale * logs, -Y_MAX, Y_MAX))
+                out[c, :, 0], out[c, :, 1] = ws @ f, ws @ h
+                if products:
+                    out[c, :, 2], out[c, :, 3] = ws @ (f * f), ws @ (f * h)
+        return out
+
+
+_ASKED = ("_s", "_lb", "_ub", "_g", "_px", "_pt", "_pw")
+_SUMS = ("_f", "_h", "_f2", "_fh", "_n")
+
+
+def moments(sample: Sample, asked: DataFrame, form: str, estimating: bool, rounded: bool = False, products: bool = False) -> DataFrame:
+    """(keys, c, p, s, lb, ub, g, target, weight, f, h, f2, fh): means at each place of each candidate; f2 and fh with `products` alone.
+
+    `asked` has the keys, dlb, dub, arrays _s, _lb, _ub and _g of candidates, and _px, _pt and
+    _pw of places, their targets and weights. The scale at a place z is s exp(g z), `rounded`
+    to a tenth and LEAST_SCALE at least if so asked.
+    """
+    keys = sample.keys
+    met = join_groups(sample.chunks, sample.sided(asked.select(*keys, "dlb", "dub", *_ASKED)), keys)
+    schema = StructType([met.schema[k] for k in keys])
+    for name, kind in (("c", IntegerType()), ("p", IntegerType()), *((n, DoubleType()) for n in ("s", "lb", "ub", "g", "target", "weight", *_SUMS))):
+        schema = schema.add(name, kind)
+
+    def passed(batch: pa.RecordBatch, found: dict) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[] for _ in range(8 + len(_SUMS))]
+        rows = []
+        for row, sums, candidates, (_, targets, weights) in found.values():
+            many, spots, _ = sums.shape
+            rows.append(np.repeat(row, many * spots))
+            own = [np.repeat(np.arange(many), spots), np.tile(np.arange(spots), many)]
+            own += [np.repeat(np.array([c[i] for c in candidates]), spots) for i in range(4)]
+            own += [np.tile(targets, many), np.tile(weights, many)]
+            for to, values in zip(columns, [*own, *(sums[:, :, i].ravel() for i in range(len(_SUMS)))], strict=True):
+                to.append(values)
+        taken = pa.array(np.concatenate(rows))
+        arrays = [batch.column(k).take(taken) for k in keys]
+        arrays += [pa.array(np.concatenate(c), pa.int32() if i < 2 else pa.float64()) for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
+            low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dlb", "dub"))
+            lists = {c: batch.column(c) for c in ("_xs", "_ws", *_ASKED)}
+            found, size = {}, 0
+            for row, name in enumerate(names):
+                own = {c: np.asarray(lists[c][row].values.to_numpy(zero_copy_only=False), float) for c in lists}
+                known = found.get(name)
+                candidates = known[2] if known else list(zip(*(own[c].tolist() for c in _ASKED[:4]), strict=True))
+                sums = _chunk_sums(own["_xs"], own["_ws"], low[row], high[row], candidates, own["_px"], form, estimating, rounded, products)
+                if known:
+                    known[1] += sums
+                    continue
+                found[name] = [row, sums, candidates, (own["_px"], own["_pt"], own["_pw"])]
+                size += sums.size
+                if size > HELD:
+                    yield passed(batch, found)
+                    found, size = {}, 0
+            if found:
+                yield passed(batch, found)
+
+    # the sums of a candidate meet in one task, where its function is followed over the places
+    sums = met.mapInArrow(run, schema).repartition(*keys, "c").groupBy(*keys, "c", "p")
+    first = [F.first(n).alias(n) for n in ("s", "lb", "ub", "g", "target", "weight")]
+    added = sums.agg(*first, *[F.sum(n).alias(n) for n in _SUMS])
+    means = [F.try_divide(F.col(n), F.col("_n")).alias(n[1:]) for n in _SUMS[:4]]
+    return added.select(*keys, "c", "p", "s", "lb", "ub", "g", "target", "weight", *means)
 
 
 def distribution(kind: str) -> Column:
@@ -153,96 +308,108 @@ def density(kind: str, s: Column, z: Column) -> Column:
     return f / s / F.pow(1 + h * h, F.lit(1.5))
 
 
-def _best(rows: DataFrame, groups: DataFrame, keys: list[str], core: str, form: str, count: int, held: int) -> DataFrame:
-    """(keys, _best): of each group's _candidates the one of least loss, with that loss and the mean fidelity."""
-    z = _convert(form)
-
-    def grid(c: Column) -> Column:
-        def at(p: Column) -> Column:
-            inner = fininf(z(p["x"], F.col("dlb"), F.col("dub")), c["lb"], c["ub"]) + F.lit(EPS)
-            return F.struct((c["c"] * count + p["p"]).cast("int").alias("cp"), c["s"].alias("s"), c["lb"].alias("lb"), c["ub"].alias("ub"), inner.alias("at"))
+def _asked(groups: DataFrame, candidates: dict[str, Column], keys: list[str]) -> DataFrame:
+    """What moments() needs of groups with _places, for arrays of candidates by name."""
+    names = [candidates[n].alias(f"_{n}") for n in ("s", "lb", "ub", "g")]
+    spots = [F.col(f"_places.{n}").alias(f"_p{n[0]}") for n in ("x", "target", "weight")]
+    return groups.select(*keys, "dlb", "dub", *names, *spots)
 
-        return F.transform("_places", at)
 
-    # what depends on the group alone is worked out once, not for each of its rows
-    wide = groups.select(*keys, "dlb", "dub", F.flatten(F.transform("_candidates", grid)).alias("_grid"))
-    met = (
-        join_groups(rows, wide if held > BROADCAST_BYTES else F.broadcast(wide), keys)
-        .select(*keys, z(F.col("_x"), F.col("dlb"), F.col("dub")).alias("_z"), F.explode("_grid").alias("_g"))
-        .select(*keys, F.col("_g.cp").alias("cp"), F.col("_g.s").alias("_s"), F.try_divide(fininf(F.col("_z"), F.col("_g.lb"), F.col("_g.ub")), F.col("_g.at")).alias("_r"))
-    )
-    means = _means(met, [*keys, "cp"], F.col("_r"), F.col("_s"), core[0] == "e", False).withColumns(
-        {"c": F.floor(F.col("cp") / count).cast("int"), "p": F.pmod("cp", F.lit(count)).cast("long")}
-    )
+def _climbed(keys: list[str]) -> Column:
+    """A function's values with the running maximum over places, within 0 and 1."""
     rising = F.max("_v").over(Window.partitionBy(*keys, "c").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    away = F.abs(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_r"))) - F.get("_places", F.col("p").cast("int"))["target"])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), rising))
+
+
+def _best(sample: Sample, asked: DataFrame, core: str, form: str) -> DataFrame:
+    """(keys, _best): of each group's candidates the one of least loss, with that loss and the mean fidelity."""
+    keys = sample.keys
+    met = moments(sample, asked, form, core[0] == "e").withColumn("_v", distribution(core))
     losses = (
-        join_groups(means.withColumn("_v", distribution(core)).withColumn("_r", rising), groups, keys)
+        met.withColumn("_away", F.abs(_climbed(keys) - F.col("target")))
         .groupBy(*keys, "c")
-        .agg(F.max(away).alias("loss"), F.avg("f").alias("mean_f"), F.first(F.get("_candidates", F.col("c").cast("int"))).alias("_own"))
+        .agg(F.max("_away").alias("loss"), F.avg("f").alias("mean_f"), *[F.first(n).alias(n) for n in ("s", "lb", "ub")])
     )
-    ranked = F.struct(F.round("loss", DIGITS).alias("r"), "c", "_own.s", "_own.lb", "_own.ub", "loss", "mean_f")
+    ranked = F.struct(F.round("loss", DIGITS).alias("r"), "c", "s", "lb", "ub", "loss", "mean_f")
     return losses.groupBy(*keys).agg(F.min(ranked).alias("_best"))
 
 
-def fit(rows: DataFrame, keys: list[str] = (), kind: str = "egdf", form: str = "a", s: float | None = None, count: int = PLACES) -> DataFrame:
-    """(keys, n, dlb, dub, s_opt, lb, ub, loss, mean_f) of each group of `rows` (see values_of).
+def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = None) -> DataFrame:
+    """(keys, n, dlb, dub, median, s_opt, lb, ub, loss, mean_f) of each group of a sample, checkpointed.
 
     lb and ub are in the normalised domain. A given `s` is kept. Groups of one value alone
     are not searched: scale one (or s), the starting bounds, no loss. Null keys are a group.
     """
-    keys, core = list(keys), {"e": "egdf", "q": "qgdf"}[kind[0]]
-    groups = cut(places(rows, keys, count))
-    searched = groups.filter("dub > dlb").withColumn("_candidates", _coarse(s, form))
-    # the first round's grid is the widest; it is sent to all tasks only where that size is small
-    held = groups.count() * len(coarse(s)) * count * GRID_BYTES
-    best = cut(_best(rows, searched, keys, core, form, count, held))
+    keys, core = sample.keys, {"e": "egdf", "q": "qgdf"}[kind[0]]
+    searched = sample.groups.filter("dub > dlb")
+    best = _best(sample, _asked(searched, _coarse(s, form), keys), core, form)
     for step in ROUNDS:
-        about = join_groups(groups, best, keys).withColumn("_candidates", _cube(s, step)).drop("_best")
-        best = cut(_best(rows, about, keys, core, form, count, held))
+        about = join_groups(searched, sample.sided(best), keys)
+        best = _best(sample, _asked(about, _cube(s, step), keys), core, form)
     lb, ub = start_bounds(form)
-    found = join_groups(groups.drop("_places"), best, keys, "left") if keys else groups.drop("_places").join(best, how="left")
-    return found.select(
-        *keys,
-        "n",
-        "dlb",
-        "dub",
-        F.coalesce("_best.s", F.lit(float(s or 1.0))).alias("s_opt"),
-        F.coalesce("_best.lb", lb).alias("lb"),
-        F.coalesce("_best.ub", ub).alias("ub"),
-        F.col("_best.loss").alias("loss"),
-        F.coalesce("_best.mean_f", F.lit(1.0)).alias("mean_f"),
+    groups = sample.groups.drop("_places")
+    found = join_groups(groups, best, keys, "left") if keys else groups.join(best, how="left")
+    return cut(
+        found.select(
+            *keys,
+            "n",
+            "dlb",
+            "dub",
+            "median",
+            F.coalesce("_best.s", F.lit(float(s or 1.0))).alias("s_opt"),
+            F.coalesce("_best.lb", lb).alias("lb"),
+            F.coalesce("_best.ub", ub).alias("ub"),
+            F.col("_best.loss").alias("loss"),
+            F.coalesce("_best.mean_f", F.lit(1.0)).alias("mean_f"),
+        )
     )
 
 
-def with_local_scale(rows: DataFrame, fits: DataFrame, keys: list[str], form: str = "a") -> DataFrame:
-    """`fits` with s_local: the scale of the mean fidelity about the median at scale one."""
-    z = _convert(form)
-    about = join_groups(fits, exact_median(rows, keys, "_x", "_m"), keys)
-    met = join_groups(rows, about, keys)
+def with_local_scale(sample: Sample, fits: DataFrame, form: str = "a") -> DataFrame:
+    """`fits` with s_local: the scale of the mean fidelity of rows about the median at scale one."""
+    z, keys = _convert(form), sample.keys
+    met = join_groups(sample.rows(), sample.sided(fits.select(*keys, "dlb", "dub", "lb", "ub", "median")), keys)
     inner = lambda x: fininf(z(F.col(x), F.col("dlb"), F.col("dub")), F.col("lb"), F.col("ub"))
-    f = fidelity_i(*q_pair(F.try_divide(inner("_x"), inner("_m") + F.lit(EPS)), 1.0))
-    means = met.select(*keys, f.alias("_f")).groupBy(*keys).agg(F.avg("_f").alias("_f"))
+    f = fidelity_i(*q_pair(F.try_divide(inner("_x"), inner("median") + F.lit(EPS)), 1.0))
+    means = met.select(*keys, f.alias("_f"), "_c").groupBy(*keys).agg(_mean(F.col("_f")).alias("_f"))
     return join_groups(fits, means.select(*keys, gnostic_scale(F.col("_f")).alias("s_local")), keys)
 
 
-def curves(rows: DataFrame, fits: DataFrame, keys: list[str], kind: str, form: str = "a", points: int = 100, scale: str = "s_opt") -> DataFrame:
-    """(keys, point, di, zi, cdf, pdf) over an even grid between each group's ends."""
-    z = _convert(form)
+def _mean(x: Column) -> Column:
+    """The mean over rows of what distinct values, counted _c, have; nulls take no part."""
+    return F.try_divide(F.sum(x * F.col("_c")), F.sum(F.when(x.isNotNull(), F.col("_c"))))
+
+
+def curves(sample: Sample, fits: DataFrame, kind: str, form: str = "a", points: int = 100, scale: str = "s_opt", gamma: str | None = None) -> DataFrame:
+    """(keys, point, di, zi, s, cdf, pdf) over an even grid between each group's ends.
+
+    With `gamma` the scale at a place is scale * exp(gamma * zi), in tenths.
+    """
+    z, keys = _convert(form), sample.keys
     step = (F.col("dub") - F.col("dlb")) / F.lit(float(max(1, points - 1)))
-    at = F.col("dlb") + step * F.col("point")
-    lo, hi, lb, ub = (F.col(c) for c in ("dlb", "dub", "lb", "ub"))
-    met = join_groups(rows, fits, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    means = _moments(met, [*keys, "point"], z(F.col("_x"), lo, hi), z(at, lo, hi), F.col(scale), lb, ub, kind[0] == "e")
-    whole = join_groups(means, fits, keys).withColumns({"_z": z(at, lo, hi), "di": at, "_v": distribution(kind)})
-    rising = F.max("_v").over(Window.partitionBy(*keys).orderBy("point").rowsBetween(Window.unboundedPreceding, 0))
-    cdf = F.col("_v") if kind == "qldf" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), rising))
-    pdf = density(kind, F.col(scale), F.col("_z"))
-    return whole.select(*keys, "point", "di", fininf(F.col("_z"), lb, ub).alias("zi"), cdf.alias("cdf"), pdf.alias("pdf"))
+    at = lambda i: F.col("dlb") + step * i
+    one = lambda c: F.array(F.col(c) if isinstance(c, str) else c)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+    none = F.transform(grid, lambda x: F.lit(0.0))
+    listed = (one(scale), one("lb"), one("ub"), one(F.lit(0.0) if gamma is None else gamma), grid, none, none)
+    asked = fits.select(*keys, "dlb", "dub", *[v.cast("array<double>").alias(n) for n, v in zip(_ASKED, listed, strict=True)])
+    means = moments(sample, asked, form, kind[0] == "e", gamma is not None, True)
+    lo, hi = F.col("dlb"), F.col("dub")
+    whole = join_groups(means, sample.sided(fits.select(*keys, "dlb", "dub")), keys).withColumns({"di": at(F.col("p")), "_v": distribution(kind)})
+    whole = whole.withColumn("_z", z(F.col("di"), lo, hi)).withColumn("zi", fininf(F.col("_z"), F.col("lb"), F.col("ub")))
+    own = F.col("s") if gamma is None else tenths(F.col("s") * F.exp(F.col("g") * F.col("zi")))
+    whole = whole.withColumn("_own", own)
+    cdf = F.col("_v") if kind == "qldf" else _climbed(keys)
+    return whole.select(*keys, F.col("p").alias("point"), "di", "zi", F.col("_own").alias("s"), cdf.alias("cdf"), density(kind, F.col("_own"), F.col("_z")).alias("pdf"))
+
+
+def tenths(scale: Column) -> Column:
+    """A varying scale as it is used: in tenths, LEAST_SCALE at least."""
+    return F.greatest(F.floor(scale * 10 + 0.5) / 10, F.lit(LEAST_SCALE))
 
 
 def tops(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, z0): the place of a density's greatest value; where it is flat to a hundredth of the spread, its middle."""
+    """(keys, _mid): the point of a density's greatest value; where it is flat to a hundredth of the spread, its middle."""
     whole = Window.partitionBy(*keys)
     near = F.abs(F.col("pdf") - F.col("_high")) <= F.greatest(0.01 * F.col("_sd"), F.lit(1e-10))
     rows = curve.withColumns({"_high": F.max("pdf").over(whole), "_sd": F.stddev_pop("pdf").over(whole)})
@@ -251,33 +418,93 @@ def tops(curve: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.max(F.when((F.col("point") < F.col("_top")) & ~F.col("_near"), F.col("point"))) + 1, F.lit(0)).alias("_a"),
         F.coalesce(F.min(F.when((F.col("point") > F.col("_top")) & ~F.col("_near"), F.col("point"))) - 1, F.max("point")).alias("_b"),
     )
-    middle = ends.select(*keys, (F.col("_a") + F.floor((F.col("_b") - F.col("_a") + 1) / 2)).cast("int").alias("_mid"))
-    return join_groups(curve, middle, keys).filter(F.col("point") == F.col("_mid")).select(*keys, F.col("di").alias("z0"))
+    return ends.select(*keys, (F.col("_a") + F.floor((F.col("_b") - F.col("_a") + 1) / 2)).cast("int").alias("_mid"))
+
+
+def with_tops(fits: DataFrame, curve: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """`fits` with z0, the place of the curve's top."""
+    step = (F.col("dub") - F.col("dlb")) / F.lit(float(max(1, points - 1)))
+    return join_groups(fits, tops(curve, keys), keys).withColumn("z0", F.col("dlb") + step * F.col("_mid")).drop("_mid")
 
 
-def with_z0(rows: DataFrame, fits: DataFrame, keys: list[str], kind: str, form: str = "a", points: int = 100, s: float | None = None) -> DataFrame:
-    """`fits` with s_local (s_opt for the global kinds, or where s is given) and z0."""
+def with_z0(sample: Sample, fits: DataFrame, kind: str, form: str = "a", points: int = 100, s: float | None = None) -> DataFrame:
+    """`fits` with s_local (s_opt for the global kinds, or where s is given) and z0, checkpointed."""
     local = kind in ("eldf", "qldf") and s is None
-    scaled = cut(with_local_scale(rows, fits, keys, form) if local else fits.withColumn("s_local", F.col("s_opt")))
-    return cut(join_groups(scaled, tops(curves(rows, scaled, keys, kind, form, points, "s_local"), keys), keys))
+    scaled = cut(with_local_scale(sample, fits, form)) if local else fits.withColumn("s_local", F.col("s_opt"))
+    return cut(with_tops(scaled, curves(sample, scaled, kind, form, points, "s_local"), sample.keys, points))
 
 
-def about_z0(rows: DataFrame, fits: DataFrame, keys: list[str], form: str = "a") -> DataFrame:
-    """(keys, variance_i, variance_j, residual_entropy, relative_entropy) about z0.
+def about_z0(sample: Sample, fits: DataFrame, form: str = "a") -> DataFrame:
+    """(keys, variance_i, variance_j, residual_entropy, relative_entropy) about z0, over rows.
 
     Data are taken in the infinite domain and z0 in the normalised one, as the definitions do;
     variances are mean squared irrelevances at s_local, entropies are at s_opt.
     """
-    z = _convert(form)
-    met = join_groups(rows, fits, keys)
+    z, keys = _convert(form), sample.keys
+    met = join_groups(sample.rows(), sample.sided(fits), keys)
     inner = fininf(z(F.col("_x"), F.col("dlb"), F.col("dub")), F.col("lb"), F.col("ub"))
     ratio = F.try_divide(inner, z(F.col("z0"), F.col("dlb"), F.col("dub")) + F.lit(EPS))
     local, whole = q_pair(ratio, F.col("s_local")), q_pair(ratio, F.col("s_opt"))
     named = {"_hi": irrelevance_i(*local), "_hj": irrelevance_j(*local), "_fi": fidelity_i(*whole), "_fj": fidelity_j(*whole)}
     fi, fj = F.col("_fi"), F.col("_fj")
-    return met.select(*keys, *[v.alias(k) for k, v in named.items()]).groupBy(*keys).agg(
-        F.avg(F.col("_hi") * F.col("_hi")).alias("variance_i"),
-        F.avg(F.col("_hj") * F.col("_hj")).alias("variance_j"),
-        (2 * (F.avg(fj) - 1)).alias("residual_entropy"),
-        F.avg((fj - fi) / (fj + fi)).alias("relative_entropy"),
+    return met.select(*keys, "_c", *[v.alias(k) for k, v in named.items()]).groupBy(*keys).agg(
+        _mean(F.col("_hi") * F.col("_hi")).alias("variance_i"),
+        _mean(F.col("_hj") * F.col("_hj")).alias("variance_j"),
+        (2 * (_mean(fj) - 1)).alias("residual_entropy"),
+        _mean((fj - fi) / (fj + fi)).alias("relative_entropy"),
+    )
+
+
+def varying_coarse() -> list[tuple]:
+    """Candidates (S0, gamma) of the first round; the first one is the start."""
+    return [VARYING_START, *product(*VARYING_COARSE)]
+
+
+def varying_square(step: tuple[float, float]) -> list[tuple]:
+    """(factor of S0, shift of gamma): each down by two steps, one, not at all, or up."""
+    return list(product([math.exp(step[0] * i) for i in (-2, -1, 0, 1, 2)], [step[1] * i for i in (-2, -1, 0, 1, 2)]))
+
+
+def varying(sample: Sample, fits: DataFrame, kind: str, form: str = "a") -> DataFrame:
+    """`fits` with s0, gamma and score: the scale S0 exp(gamma z) that varies with a datum's place z.
+
+    z is the datum in the infinite domain; the fit's bounds stay. The score, which the
+    rounds make great, is the weighted mean over places of the fidelity
+    2 / (r^2 + 1 / r^2) of r, the local function over the mid-rank function.
+    Groups of one value have s0 1 and gamma 0.
+    """
+    keys = sample.keys
+    bounds = join_groups(sample.groups.filter("dub > dlb"), sample.sided(fits.select(*keys, "lb", "ub")), keys)
+    def best(asked: DataFrame) -> DataFrame:
+        met = moments(sample, asked, form, kind[0] == "e").withColumn("_v", distribution(kind))
+        value = F.col("_v") if kind == "qldf" else _climbed(keys)
+        met = met.withColumn("_value", value)
+        r = F.col("_value") / (F.col("target") + F.lit(1e-12))
+        back = F.col("target") / (F.col("_value") + F.lit(1e-12))
+        met = met.withColumn("_alike", 2 / (r * r + back * back))
+        scores = met.groupBy(*keys, "c").agg(
+            (F.sum(F.col("_alike") * F.col("weight")) / F.sum("weight")).alias("score"), *[F.first(n).alias(n) for n in ("s", "g")]
+        )
+        ranked = F.struct((-F.round("score", DIGITS)).alias("r"), "c", "s", "g", "score")
+        return scores.groupBy(*keys).agg(F.min(ranked).alias("_best"))
+
+    def candidates(scales: Column, gammas: Column) -> dict[str, Column]:
+        same = {n: F.array_repeat(n, F.size(scales)) for n in ("lb", "ub")}
+        return same | {"s": scales, "g": gammas}
+
+    first = list(zip(*varying_coarse(), strict=True))
+    found = best(_asked(bounds, candidates(_listed(first[0]), _listed(first[1])), keys))
+    for step in VARYING_ROUNDS:
+        factors, shifts = zip(*varying_square(step), strict=True)
+        scales = _within(F.transform(_listed(factors), lambda x: F.col("_best.s") * x), *VARYING_BOX[0])
+        gammas = _within(F.transform(_listed(shifts), lambda x: F.col("_best.g") + x), *VARYING_BOX[1])
+        found = best(_asked(join_groups(bounds, sample.sided(found), keys), candidates(scales, gammas), keys))
+    out = join_groups(fits, found, keys, "left") if keys else fits.join(found, how="left")
+    return cut(
+        out.select(
+            *fits.columns,
+            F.coalesce("_best.s", F.lit(1.0)).alias("s0"),
+            F.coalesce("_best.g", F.lit(0.0)).alias("gamma"),
+            F.col("_best.score").alias("score"),
+        )
     )

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bins that a group's value range is split into where its rows are ranked apart.
-BINS = 1024
+from fidelis.operators.lineage import cut
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -50,8 +49,8 @@ def exact_median(df: DataFrame, keys: list[str], column: str, name: str) -> Data
     near = join_groups(rows, sketch.select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_n"), keys)
     below = near.groupBy(*keys).agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.first("_n").alias("_n"))
     values = near.filter("_x between _lo and _hi").groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_groups(values, below, keys).withColumn("_end", F.col("_below") + F.sum("_c").over(order))
+    ends = running(values, keys, "_x", F.col("_c"), "_end", [])
+    ranked = join_groups(ends, below, keys).withColumn("_end", F.col("_below") + F.col("_end"))
     covers = lambda r: (F.col("_end") >= r) & (F.col("_end") - F.col("_c") < r)
     low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
     return ranked.groupBy(*keys).agg(
@@ -62,23 +61,27 @@ def exact_median(df: DataFrame, keys: list[str], column: str, name: str) -> Data
 def running(df: DataFrame, keys: list[str], order: str, amount: Column, name: str, ties: list[str]) -> DataFrame:
     """Adds `name`: the sum of `amount` over the group's rows up to and with this one.
 
-    Rows are ordered by the number `order`, then `ties`. A group's value range is split into
-    BINS bins; rows are summed up within their bin and earlier bins' sums are added, so a
-    group of any size is spread over many tasks.
+    Rows are ordered by the number `order`, then `ties`; see running_sums().
     """
-    x = F.col(order).cast("double")
-    spread = with_totals(df.withColumn("_amount", amount), keys, F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    part = F.coalesce(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    binned = spread.withColumn("_bin", F.least(F.floor(part * BINS), F.lit(BINS - 1)).cast("int"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_amount").alias("_total"))
-        .select(*keys, "_bin", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    )
-    within = Window.partitionBy(*keys, "_bin").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        join_groups(binned.withColumn("_within", F.sum("_amount").over(within)), bins, [*keys, "_bin"])
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("_amount", "_lo", "_hi", "_bin", "_within", "_before")
-    )
+    return running_sums(df, keys, order, {name: amount}, ties)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, amounts: dict[str, Column], ties: list[str]) -> DataFrame:
+    """Adds each of `amounts`' sums over the group's rows up to and with this one.
+
+    Rows are dealt out by ranges of the keys and the order, which Spark takes from a sample, so
+    neither outliers nor many equal values gather in one task; rows alike in all columns do. They
+    are summed up within their range, and the sums of a group's earlier ranges, a row a
+    range, are added. The dealt rows are checkpointed, as ranges must not move between the two.
+    """
+    totals = {f"_amount{i}": a for i, a in enumerate(amounts.values())}
+    by = [*keys, order, *ties]
+    spread = df.withColumns(totals).repartitionByRange(*by, F.xxhash64(*df.columns, *totals.values()))
+    dealt = cut(spread.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*keys, "_range").agg(*[F.sum(t).alias(t) for t in totals])
+    starts = ranges.select(*keys, "_range", *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"{t}_before") for t in totals])
+    within = Window.partitionBy(*keys, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.withColumns({f"{t}_within": F.sum(t).over(within) for t in totals})
+    added = {name: F.col(f"{t}_before") + F.col(f"{t}_within") for name, t in zip(amounts, totals, strict=True)}
+    return join_groups(inside, starts, [*keys, "_range"]).withColumns(added).select(*df.columns, *amounts)

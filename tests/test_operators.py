@@ -99,7 +99,7 @@ def test_rounds_reach_a_low_loss(spark, kind):
     rng = np.random.default_rng(4)
     samples = {"normal": rng.normal(5, 2, 40), "skewed": rng.exponential(3, 30), "two": np.concatenate([rng.normal(0, 1, 12), rng.normal(20, 1, 9)]), "outlier": np.array(OUTLIER, float)}
     frame = spark.createDataFrame([(k, float(x)) for k, xs in samples.items() for x in xs] + [("one", 4.0)], "k string, x double")
-    got = {r["k"]: r for r in fits.fit(fits.values_of(frame, "x", ["k"]), ["k"], kind).collect()}
+    got = {r["k"]: r for r in fits.fit(fits.sample(frame, "x", ["k"]), kind).collect()}
     assert got["one"]["loss"] is None and got["one"]["s_opt"] == 1.0
     for k, xs in samples.items():
         z = kernels.to_z(np.sort(xs), xs.min(), xs.max(), "a")
@@ -110,8 +110,8 @@ def test_rounds_reach_a_low_loss(spark, kind):
 
 
 def test_places_of_a_large_group(spark):
-    rows = spark.range(1000).select(F.col("id").cast("double").alias("_x"))
-    found = fits.places(rows, [], 5).first()
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    found = fits.sample(rows, "x", count=5).groups.first()
     assert [(p["x"], p["target"]) for p in found["_places"]] == [(0.0, 0.0005), (249.0, 0.2495), (499.0, 0.4995), (749.0, 0.7495), (999.0, 0.9995)]
 
 
