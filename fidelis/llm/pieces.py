@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
 _CACHE, _BLOCK, _LONG, _SCANNED = 300_000, 1 << 18, 64, 48
+_KINDS = 8
 _WORST = float("inf")
 
 
@@ -183,11 +184,37 @@ class PieceModel:
         self.begins_blank = np.array([kind == NORMAL and p.startswith(SPACE) for p, _, kind in pieces])
         self.is_control = kind_of == CONTROL
         self.characters = np.array([1 if kind == UNKNOWN else 0 if kind in (CONTROL, BYTE) else len(p) for p, _, kind in pieces], np.int64)
-        # where no piece has the sign after another character no merge crosses that border
-        parted = self.escape and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.packed)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if parted else r"[\s\S]+")
+        self.words = re.compile(self._stretches())
         self.known = _Words(self)
 
+    def _stretches(self) -> str:
+        """A pattern that parts normalised texts where no merge can join.
+
+        A merge needs a piece that has the two characters at the border side by side.
+        Characters that pieces have side by side, directly or through others, are of one
+        kind; a stretch is of one kind, with signs of white space before it.
+        """
+        if not self.escape or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.packed):
+            return r"[\s\S]+"
+        kind: dict[str, str] = {}
+
+        def of(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                c = kind[c]
+            return c
+
+        for p in self.packed:
+            for a, b in itertools.pairwise(p.lstrip(SPACE)):
+                kind[of(a)] = of(b)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(kind):
+            groups.setdefault(of(c), []).append(c)
+        parts = sorted(groups.values(), key=len, reverse=True)
+        # rare kinds may as well be one
+        parts = [*parts[:_KINDS], sum(parts[_KINDS:], [])] if len(parts) > _KINDS else parts
+        classes = ["".join(map(re.escape, part)) for part in parts]
+        return "|".join([*(f"{SPACE}*[{c}]+" for c in classes), f"{SPACE}*[^{SPACE}{''.join(classes)}]", f"{SPACE}+"])
+
     # --- normalisation
 
     def _units(self, text: str) -> Iterator[tuple[str, int, int, bool]]:
