@@ -110,13 +110,16 @@ def original_bounds(fit: str, form: str) -> tuple[Column, Column]:
 
 def estimate(
     df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None,
-    weight: str | None = None, count: int | None = PLACES,
+    weight: str | None = None, count: int | None = PLACES, homogeneous: bool = True, empirical: bool = False,
 ) -> DataFrame:
     """(keys, n, dlb, dub, lb, ub, s_opt, s_local, loss, z0, residual_entropy, relative_entropy) of each group.
 
-    lb and ub are in data units. For the curve see estimated_curve().
+    lb and ub are in data units. For the curve see estimated_curve(). `weight` names a column
+    of weights; they count in means over rows, and multiply a row's distance in the loss.
+    Groups that are not `homogeneous` get further weights from their data; `empirical`
+    compares with the weighted empirical function by fidelity (see fits.fit()).
     """
-    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count)
+    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count, homogeneous, empirical)
     out = join_groups(fits, fit_search.about_z0(sample, fits, form), keys)
     back = {"a": za, "m": zm}[form]
     ends = [back(F.col(b), F.col("dlb"), F.col("dub")).alias(b) for b in ("lb", "ub")]
@@ -125,16 +128,19 @@ def estimate(
 
 def estimated_curve(
     df: DataFrame, column: str, kind: str, keys: list[str] = (), form: str = "a", points: int = 500, s: float | None = None,
-    weight: str | None = None, count: int | None = PLACES,
+    weight: str | None = None, count: int | None = PLACES, homogeneous: bool = True, empirical: bool = False,
 ) -> DataFrame:
     """(keys, point, di, zi, cdf, pdf) of each group's fitted function."""
-    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count)
+    sample, fits, keys = _with_z0(df, column, kind, keys, form, points, s, weight, count, homogeneous, empirical)
     return fit_search.curves(sample, fits, kind, form, points, "s_local").drop("s")
 
 
-def _with_z0(df: DataFrame, column: str, kind: str, keys: list[str], form: str, points: int, s: float | None, weight: str | None, count: int | None):
-    sample = fit_search.sample(df, column, keys, weight, count)
-    return sample, fit_search.with_z0(sample, fit_search.fit(sample, kind, form, s), kind, form, points, s), sample.keys
+def _with_z0(
+    df: DataFrame, column: str, kind: str, keys: list[str], form: str, points: int, s: float | None, weight: str | None, count: int | None,
+    homogeneous: bool = True, empirical: bool = False,
+):
+    sample = fit_search.sample(df, column, keys, weight, count, not homogeneous, form)
+    return sample, fit_search.with_z0(sample, fit_search.fit(sample, kind, form, s, empirical), kind, form, points, s), sample.keys
 
 
 def _place(fits: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Fits of groups' distribution functions as aggregates: no group is held in a task.
 
 A group's values are counted, ranked and dealt into chunks of bounded size once (see sample()).
-The loss of a candidate (scale and bounds) is the greatest distance between the function
-and the mid-rank function. Means of fidelity and irrelevance run over all rows of a group;
+The loss of a candidate (scale and bounds) is the greatest weighted distance between the
+function and the mid-rank function, or its fidelity to the empirical function. Means of fidelity and irrelevance run over all rows of a group;
 they are taken at up to `count` of its rows, evenly spread over the ranks: at every row of a
 group of no more than that. A coarse grid of candidates, then a cube of candidates about
 the best one in a fixed number of rounds, are summed up side by side: a chunk meets all places
@@ -30,6 +30,7 @@ from fidelis.functions.characteristics import MAX_EXPONENT, R_EPS, R_MAX
 from fidelis.functions.convert import EPS as Z_EPS
 from fidelis.operators.lineage import cut
 from fidelis.operators.totals import join_groups, running_sums, valid, with_totals
+from fidelis.operators.weights import gnostic_weights, normalised
 
 EPS, PLACES = sys.float_info.epsilon, 64
 #: Values of a chunk, sums held by a task before it passes them on, and bytes of the groups' side that may be broadcast.
@@ -61,7 +62,7 @@ class Sample:
 
     `chunks` has the keys, and arrays _xs, _cs and _ws of distinct values, their counts and
     weights; `groups` has the keys, n, dlb, dub, median and _places, an array of (p, x, target,
-    weight). Both are checkpointed; `held` is the size of the groups' side in bytes.
+    wedf, weight). Both are checkpointed; `held` is the size of the groups' side in bytes.
     """
 
     chunks: DataFrame
@@ -78,18 +79,26 @@ class Sample:
         return F.broadcast(groups) if self.held <= BROADCAST_BYTES else groups
 
 
-def sample(df: DataFrame, column: str, keys: list[str] = (), weight: str | None = None, count: int | None = PLACES) -> Sample:
+def sample(
+    df: DataFrame, column: str, keys: list[str] = (), weight: str | None = None, count: int | None = PLACES, robust: bool = False, form: str = "a"
+) -> Sample:
     """The groups of a column. Nulls, NaN and infinite values take no part, nor do rows whose
     `weight` is null, NaN, infinite or negative; a weight of zero leaves a row its rank.
 
-    `count` is the number of places (see places()), None for all rows.
+    `count` is the number of places (see places()), None for all rows. `robust`, for groups
+    that are not homogeneous, multiplies the weights by those that the data give in the
+    normalised domain of `form`.
     """
     keys = list(keys)
+    if robust:
+        placed = normalised(df.select(*keys, column, *([weight] if weight else [])), column, keys, form, "_z")
+        own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+        df, weight = gnostic_weights(placed, "_z", keys, "_own").withColumn("_own", F.col("_own") * own), "_own"
     weighed = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = valid(df.select(*keys, F.col(column).cast("double").alias("_x"), weighed.alias("_w")), "_x", "_w").filter("_w >= 0")
     counted = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"), F.sum("_w").alias("_w"))
     sums = {"_kc": F.col("_c"), "_kw": F.col("_w"), "_i": F.lit(1)}
-    ranked = running_sums(counted, keys, "_x", sums, [])
+    ranked = running_sums(counted, keys, "_x", sums, [], {"_last": F.col("_w") / F.col("_c")})
     session = df.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     dealt = ranked.groupBy(*keys, F.floor((F.col("_i") - 1) / CHUNK).alias("_chunk")).agg(F.collect_list(F.struct("_x", "_c", "_w")).alias("_p"))
@@ -97,16 +106,18 @@ def sample(df: DataFrame, column: str, keys: list[str] = (), weight: str | None
     chunks = cut(dealt.select(*keys, *arrays).repartition(tasks))
     groups = cut(places(ranked, keys, count))
     size = groups.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
-    return Sample(chunks, groups, keys, 32 * (size["p"] or 0) + 4096 * size["g"])
+    return Sample(chunks, groups, keys, 40 * (size["p"] or 0) + 4096 * size["g"])
 
 
 def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> DataFrame:
-    """(keys, n, dlb, dub, median, _places): each group's size, ends, median and an array of (p, x, target, weight).
-
-    `ranked` has distinct values _x, their counts _c and weights _w, and running sums _kc and
-    _kw of these. Of n rows those of the ranks floor(p (n - 1) / (m - 1)) + 1, for p below m,
-    the lesser of n and `count`, are places; target is the weighted mid-rank: of equal weights
-    (rank - 1/2) / n. Rows of equal values share their weights alike.
+    """(keys, n, dlb, dub, median, _places): each group's size, ends, median and an array of (p, x, target, wedf, weight).
+
+    `ranked` has distinct values _x, their counts _c and weights _w, running sums _kc and _kw
+    of these, and _last, the weight of a row of the value before. Of n rows those of the ranks
+    floor(p (n - 1) / (m - 1)) + 1, for p below m, the lesser of n and `count`, are places.
+    target is the mid-rank (rank - 1/2) / n; wedf is what the weighted empirical function
+    has reached before the value, 0 and 1 at the ends; weight is scaled to a mean of one over
+    the group's rows. Rows of equal values share their weights alike.
     """
     whole = with_totals(
         ranked, keys, F.sum("_c").alias("n"), F.sum("_w").alias("_all"), F.min("_x").alias("dlb"), F.max("_x").alias("dub")
@@ -119,9 +130,12 @@ def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> Da
     to = F.when(steps == 0, F.when(b == 0, 0).otherwise(-1)).otherwise(F.least(steps, upward(b + c) - 1))
     rank = F.floor(F.col("p") * last / F.greatest(steps, F.lit(1))).cast("long") if count is not None else F.col("p")
     own = F.col("_w") / c
-    target = (F.col("_kw") - F.col("_w") + (rank + 0.5 - b) * own) / F.col("_all")
+    x, low, high = F.col("_x"), F.col("dlb"), F.col("dub")
+    reached = (F.col("_kw") - F.col("_w") - F.col("_last") / 2) / F.col("_all")
+    wedf = F.when(x <= low, 0.0).when(x >= high, 1.0).otherwise(reached)
+    values = {"x": x, "target": (rank + 0.5) / n, "wedf": wedf, "weight": F.try_divide(own * n, F.col("_all"))}
     kept = whole.withColumn("p", F.explode(F.when(upward(b) <= to, F.sequence(upward(b), to))))
-    spots = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", F.col("_x").alias("x"), target.alias("target"), own.alias("weight")))).alias("_places"))
+    spots = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", *[v.alias(k) for k, v in values.items()]))).alias("_places"))
     covers = lambda r: (F.col("_kc") >= r) & (b < r)
     low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
     middle = (F.max(F.when(covers(low), F.col("_x"))) + F.max(F.when(covers(high), F.col("_x")))) / 2
@@ -308,10 +322,10 @@ def density(kind: str, s: Column, z: Column) -> Column:
     return f / s / F.pow(1 + h * h, F.lit(1.5))
 
 
-def _asked(groups: DataFrame, candidates: dict[str, Column], keys: list[str]) -> DataFrame:
+def _asked(groups: DataFrame, candidates: dict[str, Column], keys: list[str], target: str = "target") -> DataFrame:
     """What moments() needs of groups with _places, for arrays of candidates by name."""
     names = [candidates[n].alias(f"_{n}") for n in ("s", "lb", "ub", "g")]
-    spots = [F.col(f"_places.{n}").alias(f"_p{n[0]}") for n in ("x", "target", "weight")]
+    spots = [F.col(f"_places.{n}").alias(c) for n, c in (("x", "_px"), (target, "_pt"), ("weight", "_pw"))]
     return groups.select(*keys, "dlb", "dub", *names, *spots)
 
 
@@ -321,31 +335,36 @@ def _climbed(keys: list[str]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), rising))
 
 
-def _best(sample: Sample, asked: DataFrame, core: str, form: str) -> DataFrame:
+def _alike(value: Column, target: Column, room: float) -> Column:
+    """The fidelity of two values of distribution functions."""
+    there, back = value / (target + F.lit(room)), target / (value + F.lit(room))
+    return 2 / (there * there + back * back)
+
+
+def _best(sample: Sample, asked: DataFrame, core: str, form: str, empirical: bool) -> DataFrame:
     """(keys, _best): of each group's candidates the one of least loss, with that loss and the mean fidelity."""
     keys = sample.keys
-    met = moments(sample, asked, form, core[0] == "e").withColumn("_v", distribution(core))
-    losses = (
-        met.withColumn("_away", F.abs(_climbed(keys) - F.col("target")))
-        .groupBy(*keys, "c")
-        .agg(F.max("_away").alias("loss"), F.avg("f").alias("mean_f"), *[F.first(n).alias(n) for n in ("s", "lb", "ub")])
-    )
+    met = moments(sample, asked, form, core[0] == "e").withColumn("_v", distribution(core)).withColumn("_v", _climbed(keys))
+    loss = -F.avg(_alike(F.col("_v"), F.col("target"), 1e-6)) if empirical else F.max(F.abs(F.col("_v") - F.col("target")) * F.col("weight"))
+    losses = met.groupBy(*keys, "c").agg(loss.alias("loss"), F.avg("f").alias("mean_f"), *[F.first(n).alias(n) for n in ("s", "lb", "ub")])
     ranked = F.struct(F.round("loss", DIGITS).alias("r"), "c", "s", "lb", "ub", "loss", "mean_f")
     return losses.groupBy(*keys).agg(F.min(ranked).alias("_best"))
 
 
-def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = None) -> DataFrame:
+def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = None, empirical: bool = False) -> DataFrame:
     """(keys, n, dlb, dub, median, s_opt, lb, ub, loss, mean_f) of each group of a sample, checkpointed.
 
-    lb and ub are in the normalised domain. A given `s` is kept. Groups of one value alone
-    are not searched: scale one (or s), the starting bounds, no loss. Null keys are a group.
+    The loss is the greatest weighted distance from the mid-ranks; if `empirical`, the
+    negative mean fidelity to the weighted empirical function. lb and ub are in the
+    normalised domain. A given `s` is kept. Groups of one value alone are not searched: scale
+    one (or s), the starting bounds, no loss. Null keys are a group.
     """
     keys, core = sample.keys, {"e": "egdf", "q": "qgdf"}[kind[0]]
-    searched = sample.groups.filter("dub > dlb")
-    best = _best(sample, _asked(searched, _coarse(s, form), keys), core, form)
+    searched, target = sample.groups.filter("dub > dlb"), "wedf" if empirical else "target"
+    best = _best(sample, _asked(searched, _coarse(s, form), keys, target), core, form, empirical)
     for step in ROUNDS:
         about = join_groups(searched, sample.sided(best), keys)
-        best = _best(sample, _asked(about, _cube(s, step), keys), core, form)
+        best = _best(sample, _asked(about, _cube(s, step), keys, target), core, form, empirical)
     lb, ub = start_bounds(form)
     groups = sample.groups.drop("_places")
     found = join_groups(groups, best, keys, "left") if keys else groups.join(best, how="left")
@@ -479,9 +498,7 @@ def varying(sample: Sample, fits: DataFrame, kind: str, form: str = "a") -> Data
         met = moments(sample, asked, form, kind[0] == "e").withColumn("_v", distribution(kind))
         value = F.col("_v") if kind == "qldf" else _climbed(keys)
         met = met.withColumn("_value", value)
-        r = F.col("_value") / (F.col("target") + F.lit(1e-12))
-        back = F.col("target") / (F.col("_value") + F.lit(1e-12))
-        met = met.withColumn("_alike", 2 / (r * r + back * back))
+        met = met.withColumn("_alike", _alike(F.col("_value"), F.col("target"), 1e-12))
         scores = met.groupBy(*keys, "c").agg(
             (F.sum(F.col("_alike") * F.col("weight")) / F.sum("weight")).alias("score"), *[F.first(n).alias(n) for n in ("s", "g")]
         )

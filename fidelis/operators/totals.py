@@ -66,22 +66,32 @@ def running(df: DataFrame, keys: list[str], order: str, amount: Column, name: st
     return running_sums(df, keys, order, {name: amount}, ties)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, amounts: dict[str, Column], ties: list[str]) -> DataFrame:
-    """Adds each of `amounts`' sums over the group's rows up to and with this one.
+def running_sums(
+    df: DataFrame, keys: list[str], order: str, amounts: dict[str, Column], ties: list[str], before: dict[str, Column] | None = None
+) -> DataFrame:
+    """Adds each of `amounts`' sums over the group's rows up to and with this one, and of `before` the value of the row before it.
 
     Rows are dealt out by ranges of the keys and the order, which Spark takes from a sample, so
     neither outliers nor many equal values gather in one task; rows alike in all columns do. They
     are summed up within their range, and the sums of a group's earlier ranges, a row a
     range, are added. The dealt rows are checkpointed, as ranges must not move between the two.
     """
-    totals = {f"_amount{i}": a for i, a in enumerate(amounts.values())}
+    totals, lasts = ({f"_{n}{i}": c for i, c in enumerate(d.values())} for n, d in (("amount", amounts), ("before", before or {})))
     by = [*keys, order, *ties]
-    spread = df.withColumns(totals).repartitionByRange(*by, F.xxhash64(*df.columns, *totals.values()))
+    spread = df.withColumns(totals | lasts).repartitionByRange(*by, F.xxhash64(*df.columns, *totals.values()))
     dealt = cut(spread.withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = dealt.groupBy(*keys, "_range").agg(*[F.sum(t).alias(t) for t in totals])
-    starts = ranges.select(*keys, "_range", *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"{t}_before") for t in totals])
-    within = Window.partitionBy(*keys, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    inside = dealt.withColumns({f"{t}_within": F.sum(t).over(within) for t in totals})
-    added = {name: F.col(f"{t}_before") + F.col(f"{t}_within") for name, t in zip(amounts, totals, strict=True)}
-    return join_groups(inside, starts, [*keys, "_range"]).withColumns(added).select(*df.columns, *amounts)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.max_by(c, F.struct(order, *ties)).alias(c) for c in lasts]
+    ranges = dealt.groupBy(*keys, "_range").agg(*[F.sum(t).alias(t) for t in totals], *ends)
+    starts = ranges.select(
+        *keys,
+        "_range",
+        *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"{t}_start") for t in totals],
+        *[F.last(c).over(earlier).alias(f"{c}_start") for c in lasts],
+    )
+    line = Window.partitionBy(*keys, "_range").orderBy(order, *ties)
+    within = line.rowsBetween(Window.unboundedPreceding, 0)
+    inside = {f"{t}_within": F.sum(t).over(within) for t in totals} | {f"{c}_within": F.lag(c).over(line) for c in lasts}
+    added = {name: F.col(f"{t}_start") + F.col(f"{t}_within") for name, t in zip(amounts, totals, strict=True)}
+    added |= {name: F.coalesce(f"{c}_within", f"{c}_start") for name, c in zip(before or {}, lasts, strict=True)}
+    return join_groups(dealt.withColumns(inside), starts, [*keys, "_range"]).withColumns(added).select(*df.columns, *added)

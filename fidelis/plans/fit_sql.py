@@ -51,46 +51,69 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join(f"({c}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in r) + ")" for c, r in enumerate(rows)) + ")"
 
 
-def _round(i: int, key: str, core: str, form: str) -> str:
+def _avg(x: str, weighted: bool) -> str:
+    return f"sum(w * ({x})) / sum(w)" if weighted else f"avg({x})"
+
+
+def _round(i: int, key: str, core: str, form: str, weighted: bool, empirical: bool) -> str:
     f, h = _f_h(core[0] == "e")
     inner = lambda x: sql.fininf(_z(x, form), "lb", "ub")
     y = _y(f"({inner('v.x')} / ({inner('pl.x')} + {EPS}))", "c.s")
+    v = "greatest(least(v, 1.0), 0.0)"
+    loss = f"-avg(2 / (pow({v} / (wedf + 1e-6), 2) + pow(wedf / ({v} + 1e-6), 2)))" if empirical else f"max(abs({v} - target) * pw)"
     return f"""
 means{i} AS MATERIALIZED (
-  SELECT {key}, c, p, avg({f}) AS f, avg({h}) AS h FROM (
-    SELECT {key}, c.c, pl.p, {y} AS y FROM values_ v JOIN cands{i} c USING ({key}, dlb, dub) JOIN places pl USING ({key})) GROUP BY ALL),
+  SELECT {key}, c, p, {_avg(f, weighted)} AS f, {_avg(h, weighted)} AS h FROM (
+    SELECT {key}, c.c, pl.p, {"v.w, " if weighted else ""}{y} AS y FROM values_ v JOIN cands{i} c USING ({key}, dlb, dub) JOIN places pl USING ({key})) GROUP BY ALL),
 best{i} AS MATERIALIZED (
   SELECT {key}, arg_min(w.c, (round(loss, {fits.DIGITS}), w.c)) AS c, arg_min(loss, (round(loss, {fits.DIGITS}), w.c)) AS loss,
     arg_min(mean_f, (round(loss, {fits.DIGITS}), w.c)) AS mean_f FROM (
-    SELECT {key}, c, max(abs(greatest(least(v, 1.0), 0.0) - target)) AS loss, avg(f) AS mean_f FROM (
-      SELECT {key}, m.c, m.p, m.f, pl.target, max({_value(core)}) OVER (PARTITION BY {key}, m.c ORDER BY m.p) AS v
+    SELECT {key}, c, {loss} AS loss, avg(f) AS mean_f FROM (
+      SELECT {key}, m.c, m.p, m.f, pl.target, pl.wedf, pl.pw, max({_value(core)}) OVER (PARTITION BY {key}, m.c ORDER BY m.p) AS v
       FROM means{i} m JOIN places pl USING ({key}, p)) GROUP BY ALL) w GROUP BY {key}),
 at{i} AS MATERIALIZED (SELECT {key}, c.s, c.lb, c.ub, b.loss, b.mean_f, c.dlb, c.dub, c.n FROM best{i} b JOIN cands{i} c USING ({key}, c))"""
 
 
-def fit(source: str, key: str, kind: str, form: str = "a") -> str:
-    """CTEs (for WITH RECURSIVE) that end in fitted({key}, s, lb, ub, loss, mean_f, dlb, dub, n); `source` gives ({key}, x)."""
+def fit(source: str, key: str, kind: str, form: str = "a", weighted: bool = False, empirical: bool = False) -> str:
+    """CTEs (for WITH RECURSIVE) that end in fitted({key}, s, lb, ub, loss, mean_f, dlb, dub, n); `source` gives ({key}, x), and w if weighted.
+
+    Weighted, a row's distance is multiplied by its weight; rows of equal values share their
+    weights alike. `empirical` compares by fidelity with the weighted empirical function before a value.
+    """
     core = {"e": "egdf", "q": "qgdf"}[kind[0]]
     low, high = ("dlb - (dub - dlb) / 2", "dub + (dub - dlb) / 2") if form == "a" else ("dlb / sqrt(dub / dlb)", "dub * sqrt(dub / dlb)")
+    alike, pw, wedf, before = "", "1.0", "NULL", ""
+    if weighted:
+        same = f"OVER (PARTITION BY {key}, x)"
+        alike = (
+            f", count(*) {same} AS same, sum(w) {same} AS own,"
+            f" sum(w) OVER (PARTITION BY {key} ORDER BY x) AS upto, sum(w) OVER (PARTITION BY {key}) AS everything"
+        )
+        pw = "own / same * n / everything"
+        wedf = "CASE WHEN x <= dlb THEN 0.0 WHEN x >= dub THEN 1.0 ELSE (upto - own - last / 2) / everything END"
+        before = f"""
+lasts AS (
+  SELECT {key}, x, lag(share) OVER (PARTITION BY {key} ORDER BY x) AS last FROM (SELECT DISTINCT {key}, x, own / same AS share FROM ranks)),"""
     out = f"""
 values_ AS MATERIALIZED (
-  SELECT {key}, x::DOUBLE AS x, min(x::DOUBLE) OVER w AS dlb, max(x::DOUBLE) OVER w AS dub FROM ({source}) WHERE isfinite(x::DOUBLE) WINDOW w AS (PARTITION BY {key})),
+  SELECT {key}, x::DOUBLE AS x, {"w::DOUBLE AS w, " if weighted else ""}min(x::DOUBLE) OVER own AS dlb, max(x::DOUBLE) OVER own AS dub
+  FROM ({source}) WHERE isfinite(x::DOUBLE) WINDOW own AS (PARTITION BY {key})),
 ranks AS (
-  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY x) AS k, count(*) OVER (PARTITION BY {key}) AS n FROM values_),
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY x) AS k, count(*) OVER (PARTITION BY {key}) AS n{alike} FROM values_),{before}
 places AS MATERIALIZED (
-  SELECT {key}, p, x, (k - 0.5) / n AS target, n FROM (
-    SELECT *, least(n, {fits.PLACES}) - 1 AS steps, ((k - 1) * (least(n, {fits.PLACES}) - 1) + greatest(n - 1, 1) - 1) // greatest(n - 1, 1) AS p FROM ranks)
+  SELECT {key}, p, x, (k - 0.5) / n AS target, n, {pw} AS pw, {wedf} AS wedf FROM (
+    SELECT *, least(n, {fits.PLACES}) - 1 AS steps, ((k - 1) * (least(n, {fits.PLACES}) - 1) + greatest(n - 1, 1) - 1) // greatest(n - 1, 1) AS p FROM ranks{f' LEFT JOIN lasts USING ({key}, x)' if weighted else ''})
   WHERE (p * greatest(n - 1, 1)) // greatest(steps, 1) = k - 1),
 sizes AS (SELECT {key}, dlb, dub, count(*) AS n FROM values_ GROUP BY ALL),
 cands0 AS MATERIALIZED (
   SELECT {key}, dlb, dub, n, c, s, CASE WHEN c = 0 THEN {_z(low, form)} ELSE lb END AS lb, CASE WHEN c = 0 THEN {_z(high, form)} ELSE ub END AS ub
   FROM sizes, {_values(fits.coarse(None))} t(c, s, lb, ub) WHERE dub > dlb),"""
-    out += _round(0, key, core, form)
+    out += _round(0, key, core, form, weighted, empirical)
     for i, step in enumerate(fits.ROUNDS, 1):
         inside = lambda n: f"greatest(least(a.{n} * t.{n}, {fits.BOX[n][1]!r}), {fits.BOX[n][0]!r}) AS {n}"
         out += f""",
 cands{i} AS MATERIALIZED (SELECT {key}, dlb, dub, n, t.c, {inside("s")}, {inside("lb")}, {inside("ub")} FROM at{i - 1} a, {_values(fits.cube(None, step))} t(c, s, lb, ub)),"""
-        out += _round(i, key, core, form)
+        out += _round(i, key, core, form, weighted, empirical)
     return out + f""",
 fitted AS MATERIALIZED (SELECT * FROM at{len(fits.ROUNDS)})"""
 
@@ -106,20 +129,23 @@ about AS (
 {sql.newton("about", [key], "f", "locals", "s_local")}"""
 
 
-def tops(key: str, kind: str, form: str, points: int) -> str:
-    """CTEs that end in tops({key}, z0), from fitted and locals."""
+def tops(key: str, kind: str, form: str, points: int, weighted: bool = False, scale: str = "s_local") -> str:
+    """CTEs that end in tops({key}, z0), from fitted and locals; `scale` may depend on the place z of a point."""
     f, h = _f_h(kind[0] == "e")
     inner = lambda x: sql.fininf(_z(x, form), "lb", "ub")
+    w = "w, " if weighted else ""
     return f""",
 grid AS MATERIALIZED (
-  SELECT {key}, dlb, dub, lb, ub, s_local, i AS point, dlb + (dub - dlb) / {float(points - 1)!r} * i AS di
-  FROM fitted JOIN locals USING ({key}), range({points}) t(i)),
+  SELECT * EXCLUDE (s_local), {scale} AS s_local FROM (
+    SELECT *, {inner("di")} AS place FROM (
+      SELECT {key}, dlb, dub, lb, ub, COLUMNS(locals.* EXCLUDE ({key})), i AS point, dlb + (dub - dlb) / {float(points - 1)!r} * i AS di
+      FROM fitted JOIN locals USING ({key}), range({points}) t(i)))),
 dense AS MATERIALIZED (
   SELECT {key}, point, di, {_density(kind, "s_local")} AS pdf FROM (
     SELECT {key}, point, any_value(di) AS di, any_value(s_local) AS s_local, any_value({_z("di", form)}) AS z,
-      avg(f) AS f, avg(h) AS h, avg(f * f) AS f2, avg(f * h) AS fh FROM (
+      {_avg("f", weighted)} AS f, {_avg("h", weighted)} AS h, {_avg("f * f", weighted)} AS f2, {_avg("f * h", weighted)} AS fh FROM (
       SELECT *, {f} AS f, {h} AS h FROM (
-        SELECT g.*, {_y(f"({inner('v.x')} / ({inner('g.di')} + {EPS}))", "s_local")} AS y FROM values_ v JOIN grid g USING ({key}, dlb, dub)))
+        SELECT g.*, {w}{_y(f"({inner('v.x')} / ({inner('g.di')} + {EPS}))", "s_local")} AS y FROM values_ v JOIN grid g USING ({key}, dlb, dub)))
     GROUP BY {key}, point)),
 marked AS (
   SELECT *, min(point) FILTER (pdf = high) OVER (PARTITION BY {key}) AS top, abs(pdf - high) <= greatest(0.01 * sd, 1e-10) AS near FROM (
@@ -131,11 +157,48 @@ middles AS (
 tops AS MATERIALIZED (SELECT {key}, di AS z0 FROM dense JOIN middles USING ({key}, point))"""
 
 
-def whole(source: str, key: str, kind: str, form: str, points: int, select: str) -> str:
+def whole(source: str, key: str, kind: str, form: str, points: int, select: str, weighted: bool = False, empirical: bool = False) -> str:
     """A query over the fit: `select` may use fitted, locals, tops and values_."""
     scale = local_scale(key, form) if kind in ("eldf", "qldf") else f""",
 locals AS (SELECT {key}, s AS s_local FROM fitted)"""
-    return f"WITH RECURSIVE {fit(source, key, kind, form)}{scale}{tops(key, kind, form, points)}\n{select}"
+    return f"WITH RECURSIVE {fit(source, key, kind, form, weighted, empirical)}{scale}{tops(key, kind, form, points, weighted)}\n{select}"
+
+
+def varying(source: str, key: str, kind: str, form: str, points: int) -> str:
+    """A query for a scale s0 exp(gamma z): the rounds of candidates after the fit's, its ends and z0."""
+    f, h = _f_h(kind[0] == "e")
+    inner = lambda x: sql.fininf(_z(x, form), "lb", "ub")
+    pairs = lambda rows: "(VALUES " + ", ".join(f"({c}, {float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for c, (a, b) in enumerate(rows)) + ")"
+    rising = "v" if kind == "qldf" else f"greatest(least(max(v) OVER (PARTITION BY {key}, c ORDER BY p), 1.0), 0.0)"
+    out = f"""
+vcands0 AS MATERIALIZED (SELECT f.*, t.c, t.s0, t.g FROM fitted f, {pairs(fits.varying_coarse())} t(c, s0, g)),"""
+    (low, high), (left, right) = fits.VARYING_BOX
+    for i in range(len(fits.VARYING_ROUNDS) + 1):
+        if i:
+            out += f"""
+vcands{i} AS MATERIALIZED (
+  SELECT a.* EXCLUDE (c, s0, g, score), t.c, greatest(least(a.s0 * t.a, {high!r}), {low!r}) AS s0, greatest(least(a.g + t.b, {right!r}), {left!r}) AS g
+  FROM vat{i - 1} a, {pairs(fits.varying_square(fits.VARYING_ROUNDS[i - 1]))} t(c, a, b)),"""
+        y = _y(f"({inner('v.x')} / ({inner('pl.x')} + {EPS}))", f"(c.s0 * exp(c.g * {inner('pl.x')}))")
+        out += f"""
+vmeans{i} AS MATERIALIZED (
+  SELECT {key}, c, p, avg({f}) AS f, avg({h}) AS h FROM (
+    SELECT {key}, c.c, pl.p, {y} AS y FROM values_ v JOIN vcands{i} c USING ({key}, dlb, dub) JOIN places pl USING ({key})) GROUP BY ALL),
+vscores{i} AS MATERIALIZED (
+  SELECT {key}, c, avg(2 / (pow(r / (target + 1e-12), 2) + pow(target / (r + 1e-12), 2))) AS score FROM (
+    SELECT {key}, c, target, {rising} AS r FROM (
+      SELECT {key}, m.c, m.p, pl.target, {_value(kind)} AS v FROM vmeans{i} m JOIN places pl USING ({key}, p))) GROUP BY ALL),
+vat{i} AS MATERIALIZED (
+  SELECT c.*, score FROM vcands{i} c JOIN vscores{i} USING ({key}, c)
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY -round(score, {fits.DIGITS}), c) = 1),"""
+    tenth = lambda at: f"greatest(floor(s0 * exp(g * {at}) * 10 + 0.5) / 10, {fits.LEAST_SCALE!r})"
+    out += f"""
+locals AS (SELECT {key}, s0, g, score, 0.0 AS s_local FROM vat{len(fits.VARYING_ROUNDS)})"""
+    ends = ", ".join(f"{tenth(inner(x))} AS {name}" for x, name in (("dlb", "s_low"), ("dub", "s_high")))
+    select = f"""
+SELECT *, s_low <> s_high AS heteroscedastic FROM (
+  SELECT {key}, n, s0, g AS gamma, score, {ends}, z0 FROM fitted JOIN locals USING ({key}) JOIN tops USING ({key}))"""
+    return f"WITH RECURSIVE {fit(source, key, kind, form)},{out}{tops(key, kind, form, points, scale=tenth('place'))}{select}"
 
 
 def about_z0(key: str, form: str, what: str, extra: str = "") -> str:

@@ -21,6 +21,32 @@ def _auto(kind: str):
     return query
 
 
+def _weighed(spark: SparkSession, sf: str) -> DataFrame:
+    return _balances(spark, sf).withColumn("w", (F.col("c_custkey") % 7).cast("double") + 0.5)
+
+
+def _weighted(kind: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return distributions.estimate(_weighed(spark, sf), "c_acctbal", kind, ["c_mktsegment"], points=200, weight="w")
+
+    return query
+
+
+def egdf_empirical(spark: SparkSession, sf: str) -> DataFrame:
+    return distributions.estimate(_weighed(spark, sf), "c_acctbal", "egdf", ["c_mktsegment"], points=200, weight="w", empirical=True)
+
+
+def mean_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return distributions.mean(_weighed(spark, sf), "c_acctbal", ["c_nationkey"], weight="w")
+
+
+def _varying(kind: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return distributions.varying_scale(_balances(spark, sf), "c_acctbal", kind, ["c_mktsegment"], points=200)
+
+    return query
+
+
 def _statistic(f, **more):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         return f(_balances(spark, sf), "c_acctbal", ["c_nationkey"], **more)
@@ -76,11 +102,15 @@ _BALANCE = "SELECT c_nationkey, c_acctbal AS x FROM customer"
 _SEGMENT = "SELECT c_mktsegment, c_acctbal AS x FROM customer"
 
 
-def _auto_sql(kind: str) -> str:
+_WEIGHED = "SELECT {}, c_acctbal AS x, c_custkey % 7 + 0.5 AS w FROM customer"
+
+
+def _auto_sql(kind: str, weighted: bool = False, empirical: bool = False) -> str:
     fi, fj = sql.fi("r", "s"), sql.fj("r", "s")
     what = f"2 * (avg({fj}) - 1) AS residual_entropy, avg(({fj} - {fi}) / ({fj} + {fi})) AS relative_entropy"
     extra = f"n, dlb, dub, {fit_sql.data_bounds()}, s AS s_opt, s_local, loss, z0, "
-    return fit_sql.whole(_SEGMENT, "c_mktsegment", kind, "a", 200, fit_sql.about_z0("c_mktsegment", "a", what, extra))
+    source = _WEIGHED.format("c_mktsegment") if weighted else _SEGMENT
+    return fit_sql.whole(source, "c_mktsegment", kind, "a", 200, fit_sql.about_z0("c_mktsegment", "a", what, extra), weighted, empirical)
 
 
 def _z0_sql(kind: str, name: str, points: int) -> str:
@@ -93,8 +123,16 @@ _VARIANCE = fit_sql.whole(
 )
 _ENTROPY = f"WITH {fit_sql.fit(_BALANCE, 'c_nationkey', 'egdf')}\nSELECT c_nationkey, 1 - mean_f AS entropy FROM fitted"
 
+_MEAN_WEIGHTED = fit_sql.whole(
+    _WEIGHED.format("c_nationkey"), "c_nationkey", "eldf", "a", 100, "SELECT c_nationkey, z0 AS mean FROM tops", True
+)
+
 QUERIES = {
     **{f"{k}_auto": (_auto(k), _auto_sql(k)) for k in ("egdf", "eldf", "qgdf", "qldf")},
+    **{f"{k}_weighted": (_weighted(k), _auto_sql(k, True)) for k in ("egdf", "eldf", "qgdf", "qldf")},
+    "egdf_empirical": (egdf_empirical, _auto_sql("egdf", True, True)),
+    "mean_weighted": (mean_weighted, _MEAN_WEIGHTED),
+    **{f"{k}_varying": (_varying(k), fit_sql.varying(_SEGMENT, "c_mktsegment", k, "a", 200)) for k in ("eldf", "qldf")},
     "mean": (_statistic(distributions.mean), _z0_sql("eldf", "mean", 100)),
     "mean_j": (_statistic(distributions.mean, case="j"), _z0_sql("qldf", "mean", 100)),
     "mean_m": (prices_m, _PRICES),
