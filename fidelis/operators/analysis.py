@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.operators import kernels
+from fidelis.operators import fits, peaks
 from fidelis.operators.distributions import (
     MAX_POINTS,
     fitted,
     original_bounds,
     samples,
+    varying_scale,
     with_std,
     z0_of,
 )
@@ -24,27 +25,47 @@ from fidelis.operators.totals import join_groups
 WALK_STEPS, WALK_STEP, WALK_DECAY = 100, 1e-3, 0.1
 
 
-def homogeneity(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), points: int = 500, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, homogeneous, z0, peaks): peaks are (position, density) of the smoothed density's maxima."""
-    rows = fitted(samples(df, column, keys, ties, max_points), "egdf", points=points)
-    place = F.transform("fit.peaks", lambda i: F.struct(F.get("fit.di", i).alias("position"), F.get("fit.pdf", i).alias("density")))
-    return rows.select(*keys, "fit.homogeneous", z0_of().alias("z0"), place.alias("peaks"))
+def _global(sample: fits.Sample, fitted_: DataFrame, form: str, points: int) -> tuple[DataFrame, DataFrame]:
+    """(flags, curve): (keys, homogeneous, z0, _peaks) by the global density of a fitted sample, and its curve."""
+    keys = sample.keys
+    curve = cut(fits.curves(sample, fitted_, "egdf", form, points))
+    marked = fits.with_tops(fitted_, curve, keys, points)
+    lows = curve.groupBy(*keys).agg(F.min("pdf").alias("_least"))
+    found = join_groups(join_groups(marked, lows, keys), peaks.density_peaks(curve, keys, points), keys, "left") if keys else join_groups(marked, lows, keys).join(peaks.density_peaks(curve, keys, points), how="left")
+    alike, tops = F.col("dlb") == F.col("dub"), F.coalesce("peaks", F.array().cast("array<struct<point:int,height:double>>"))
+    flags = found.select(
+        *keys,
+        (alike | ((F.col("_least") >= 0) & (F.size(tops) == 1))).alias("homogeneous"),
+        F.when(alike, F.col("dlb")).otherwise(F.col("z0")).alias("z0"),
+        F.when(alike, F.slice(tops, 1, 0)).otherwise(tops).alias("_peaks"),
+    )
+    return flags, curve
 
 
-def scedasticity(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), kind: str = "eldf", max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, homoscedastic, least_scale, greatest_scale) of a scale that may vary along the data."""
+def homogeneity(
+    df: DataFrame, column: str, keys: list[str] = (), form: str = "a", points: int = 500, weight: str | None = None,
+    count: int | None = fits.PLACES, homogeneous: bool = True,
+) -> DataFrame:
+    """(keys, homogeneous, z0, peaks): peaks are (position, density) of the smoothed density's maxima, highest first.
 
-    @F.pandas_udf("array<double>")
-    def scales(data: pd.Series, counts: pd.Series) -> pd.Series:
-        out = []
-        for x, w in zip(data, counts, strict=True):
-            found = kernels.fit(kind, np.asarray(x, float), np.asarray(w, float), points=2)
-            out.append(kernels.varying_scale(np.asarray(x, float), kind, "a", found))
-        return pd.Series(out)
+    A group is homogeneous if its global density, at all its rows, has one such peak and is
+    nowhere negative, or if it has one value. `homogeneous=False` fits with weights that the
+    data give.
+    """
+    sample = fits.sample(df, column, keys, weight, count, not homogeneous, form)
+    flags, curve = _global(sample, fits.fit(sample, "egdf", form), form, points)
+    arrays = peaks.as_arrays(curve, sample.keys, ["di", "pdf"])
+    place = F.transform("_peaks", lambda p: F.struct(F.get("di", p["point"]).alias("position"), F.get("pdf", p["point"]).alias("density")))
+    return join_groups(flags, arrays, sample.keys).select(*sample.keys, "homogeneous", "z0", place.alias("peaks"))
 
-    rows = samples(df, column, keys, ties, max_points).withColumn("_s", scales.asNondeterministic()("data", "counts"))
-    low, high = F.array_min("_s"), F.array_max("_s")
-    return rows.select(*keys, (low == high).alias("homoscedastic"), low.alias("least_scale"), high.alias("greatest_scale"))
+
+def scedasticity(
+    df: DataFrame, column: str, keys: list[str] = (), kind: str = "eldf", form: str = "a", weight: str | None = None, count: int | None = fits.PLACES
+) -> DataFrame:
+    """(keys, homoscedastic, least_scale, greatest_scale) of a scale that may vary along the data (see varying_scale())."""
+    found = varying_scale(df, column, kind, keys, form, 2, weight, count)
+    low, high = F.least("s_low", "s_high"), F.greatest("s_low", "s_high")
+    return found.select(*keys, (~F.col("heteroscedastic")).alias("homoscedastic"), low.alias("least_scale"), high.alias("greatest_scale"))
 
 
 def _settled(rows: DataFrame, points: int) -> DataFrame:
@@ -62,10 +83,23 @@ def _settled(rows: DataFrame, points: int) -> DataFrame:
     )
 
 
-def cluster_analysis(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), threshold: float = 0.0, points: int = 500, max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, homogeneous, lcb, ucb): bounds of the main cluster of the local density."""
-    rows = fitted(_settled(samples(df, column, keys, ties, max_points), points), "eldf", points=points, s=F.col("_s"), name="local", threshold=threshold)
-    return rows.select(*keys, "homogeneous", "local.lcb", "local.ucb")
+def cluster_analysis(
+    df: DataFrame, column: str, keys: list[str] = (), form: str = "a", threshold: float = 0.01, points: int = 1000,
+    weight: str | None = None, count: int | None = fits.PLACES, homogeneous: bool = True,
+) -> DataFrame:
+    """(keys, homogeneous, lcb, ucb): bounds of the main cluster, that of the local density's maximum.
+
+    Groups known not to be `homogeneous` are fitted with weights that the data give. One
+    search of scale and bounds serves the global function, which tells homogeneity, and the
+    local one. Bounds are where, on either side, the normalised density and its slope
+    have fallen to `threshold`.
+    """
+    sample = fits.sample(df, column, keys, weight, count, not homogeneous, form)
+    found = fits.fit(sample, "eldf", form)
+    flags, _ = _global(sample, found, form, points)
+    local = cut(fits.curves(sample, cut(fits.with_local_scale(sample, found, form)), "eldf", form, points, "s_local"))
+    bounds = peaks.cluster_bounds(local, sample.keys, threshold, fits.tops(local, sample.keys))
+    return join_groups(flags.select(*sample.keys, "homogeneous"), bounds.drop("z0"), sample.keys)
 
 
 def _extended(rows: DataFrame, datum: Column) -> DataFrame:
@@ -231,30 +265,31 @@ def autocovariances(df: DataFrame, column: str, keys: list[str], order: list[str
     )
 
 
-def local_clusters(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), scales: list[float] | None = None, points: int = 1000, max_points: int = MAX_POINTS) -> DataFrame:
+def local_clusters(
+    df: DataFrame, column: str, keys: list[str] = (), scales: list[float] | None = None, form: str = "a", points: int = 1000,
+    weight: str | None = None, count: int | None = fits.PLACES,
+) -> DataFrame:
     """(keys, s, residual_entropy, centroids, boundaries): clusters of a column by its local density.
 
-    Of the given scales (each fitted side by side; by default one that is searched) the one
-    of least residual entropy counts. Peaks are centroids, valleys boundaries.
+    Of the given scales (by default one that is searched) the one of least residual entropy
+    counts, for each group. The density's peaks are centroids, its valleys boundaries.
     """
-    from fidelis.operators.distributions import entropies
-
-    keys = list(keys)
-    rows = samples(df, column, keys, ties, max_points)
-    grid = F.array(*[F.lit(float(s)) for s in scales]) if scales else F.array(F.lit(None).cast("double"))
-    tried = rows.withColumn("_s", F.explode(grid)).repartition(*keys, "_s")
-    fits = fitted(tried, "eldf", points=points, s=F.col("_s")).withColumn("_z0", z0_of())
-    pick = lambda v: F.transform(v, lambda i: F.get("fit.di", i))
-    found = fits.select(
-        *keys,
-        F.struct(
-            entropies("fit", F.col("_z0"), "a")[0].alias("residual_entropy"),
-            F.coalesce("_s", "fit.s_local").alias("s"),
-            pick("fit.tops").alias("centroids"),
-            pick("fit.valleys").alias("boundaries"),
-        ).alias("_r"),
-    )
-    return found.groupBy(*keys).agg(F.min("_r").alias("_r")).select(*keys, "_r.s", "_r.residual_entropy", "_r.centroids", "_r.boundaries")
+    sample = fits.sample(df, column, keys, weight, count)
+    keys, tried = sample.keys, None
+    for s in scales or [None]:
+        found = fits.with_z0(sample, fits.fit(sample, "eldf", form, s), "eldf", form, points, s)
+        curve = cut(fits.curves(sample, found, "eldf", form, points, "s_local"))
+        own = join_groups(found.select(*keys, F.col("s_local").alias("s")), fits.about_z0(sample, found, form), keys)
+        for name, sign in (("centroids", 1), ("boundaries", -1)):
+            tops = peaks.inner_maxima(curve.select(*keys, "point", (sign * F.col("pdf")).alias("_v")), keys, "_v")
+            places = join_groups(tops.withColumnRenamed("point", "_top"), curve, keys).filter("_top = point")
+            listed = places.groupBy(*keys).agg(F.sort_array(F.collect_list("di")).alias(name))
+            own = join_groups(own, listed, keys, "left") if keys else own.join(listed, how="left")
+        none = F.array().cast("array<double>")
+        row = F.struct("residual_entropy", "s", F.coalesce("centroids", none).alias("centroids"), F.coalesce("boundaries", none).alias("boundaries"))
+        own = own.select(*keys, row.alias("_r"))
+        tried = own if tried is None else tried.unionByName(own)
+    return tried.groupBy(*keys).agg(F.min("_r").alias("_r")).select(*keys, "_r.s", "_r.residual_entropy", "_r.centroids", "_r.boundaries")
 
 
 def assign_clusters(df: DataFrame, clusters: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:

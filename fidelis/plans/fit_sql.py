@@ -129,32 +129,100 @@ about AS (
 {sql.newton("about", [key], "f", "locals", "s_local")}"""
 
 
-def tops(key: str, kind: str, form: str, points: int, weighted: bool = False, scale: str = "s_local") -> str:
-    """CTEs that end in tops({key}, z0), from fitted and locals; `scale` may depend on the place z of a point."""
+def tops(key: str, kind: str, form: str, points: int, weighted: bool = False, scale: str = "s_local", locals_: str = "locals", end: str = "") -> str:
+    """CTEs that end in tops({key}, z0), from fitted and locals; `scale` may depend on the place z of a point.
+
+    `end` is added to the names of all that they make.
+    """
     f, h = _f_h(kind[0] == "e")
     inner = lambda x: sql.fininf(_z(x, form), "lb", "ub")
     w = "w, " if weighted else ""
     return f""",
-grid AS MATERIALIZED (
+grid{end} AS MATERIALIZED (
   SELECT * EXCLUDE (s_local), {scale} AS s_local FROM (
     SELECT *, {inner("di")} AS place FROM (
-      SELECT {key}, dlb, dub, lb, ub, COLUMNS(locals.* EXCLUDE ({key})), i AS point, dlb + (dub - dlb) / {float(points - 1)!r} * i AS di
-      FROM fitted JOIN locals USING ({key}), range({points}) t(i)))),
-dense AS MATERIALIZED (
+      SELECT {key}, dlb, dub, lb, ub, COLUMNS({locals_}.* EXCLUDE ({key})), i AS point, dlb + (dub - dlb) / {float(points - 1)!r} * i AS di
+      FROM fitted JOIN {locals_} USING ({key}), range({points}) t(i)))),
+dense{end} AS MATERIALIZED (
   SELECT {key}, point, di, {_density(kind, "s_local")} AS pdf FROM (
     SELECT {key}, point, any_value(di) AS di, any_value(s_local) AS s_local, any_value({_z("di", form)}) AS z,
       {_avg("f", weighted)} AS f, {_avg("h", weighted)} AS h, {_avg("f * f", weighted)} AS f2, {_avg("f * h", weighted)} AS fh FROM (
       SELECT *, {f} AS f, {h} AS h FROM (
-        SELECT g.*, {w}{_y(f"({inner('v.x')} / ({inner('g.di')} + {EPS}))", "s_local")} AS y FROM values_ v JOIN grid g USING ({key}, dlb, dub)))
+        SELECT g.*, {w}{_y(f"({inner('v.x')} / ({inner('g.di')} + {EPS}))", "s_local")} AS y FROM values_ v JOIN grid{end} g USING ({key}, dlb, dub)))
     GROUP BY {key}, point)),
-marked AS (
+marked{end} AS (
   SELECT *, min(point) FILTER (pdf = high) OVER (PARTITION BY {key}) AS top, abs(pdf - high) <= greatest(0.01 * sd, 1e-10) AS near FROM (
-    SELECT *, max(pdf) OVER (PARTITION BY {key}) AS high, stddev_pop(pdf) OVER (PARTITION BY {key}) AS sd FROM dense)),
-middles AS (
+    SELECT *, max(pdf) OVER (PARTITION BY {key}) AS high, stddev_pop(pdf) OVER (PARTITION BY {key}) AS sd FROM dense{end})),
+middles{end} AS (
   SELECT {key}, a + (b - a + 1) // 2 AS point FROM (
     SELECT {key}, coalesce(max(point) FILTER (point < top AND NOT near) + 1, 0) AS a,
-      coalesce(min(point) FILTER (point > top AND NOT near) - 1, max(point)) AS b FROM marked GROUP BY {key})),
-tops AS MATERIALIZED (SELECT {key}, di AS z0 FROM dense JOIN middles USING ({key}, point))"""
+      coalesce(min(point) FILTER (point > top AND NOT near) - 1, max(point)) AS b FROM marked{end} GROUP BY {key})),
+tops{end} AS MATERIALIZED (SELECT {key}, di AS z0 FROM dense{end} JOIN middles{end} USING ({key}, point))"""
+
+
+def flags(key: str, points: int, end: str = "") -> str:
+    """CTEs that end in flags({key}, homogeneous) and peaks({key}, peak, point), from dense and fitted.
+
+    The density is smoothed by a Gaussian of one point, mirrored at the ends with these
+    repeated; its maxima of a hundredth of the greatest are taken from the highest on, where
+    they keep a twentieth of the grid from all taken before.
+    """
+    raw = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+    kernel = ", ".join(f"({k}, {w / sum(raw)!r}::DOUBLE)" for k, w in zip(range(-4, 5), raw, strict=True))
+    j = "d.point + o.k"
+    return f""",
+smooth AS MATERIALIZED (
+  SELECT d.{key}, d.point, sum(o.w * e.pdf) AS v FROM dense{end} d, (VALUES {kernel}) o(k, w), dense{end} e
+  WHERE e.{key} IS NOT DISTINCT FROM d.{key} AND e.point = CASE WHEN {j} < 0 THEN -1 - ({j}) WHEN {j} >= {points} THEN {2 * points - 1} - ({j}) ELSE {j} END
+  GROUP BY ALL),
+runs AS (
+  SELECT {key}, run, any_value(v) AS v, min(point) AS a, max(point) AS b FROM (
+    SELECT *, sum(new) OVER (PARTITION BY {key} ORDER BY point) AS run FROM (
+      SELECT *, coalesce((v <> lag(v) OVER (PARTITION BY {key} ORDER BY point))::INT, 0) AS new FROM smooth)) GROUP BY ALL),
+maxima AS MATERIALIZED (
+  SELECT {key}, (a + b) // 2 AS point, row_number() OVER (PARTITION BY {key} ORDER BY v DESC, (a + b) // 2) AS i FROM (
+    SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after, max(v) OVER (PARTITION BY {key}) AS most FROM runs WINDOW w AS (PARTITION BY {key} ORDER BY run))
+  WHERE v > before AND v > after AND v >= 0.01 * most),
+kept AS (
+  SELECT DISTINCT {key}, 0::BIGINT AS i, []::BIGINT[] AS taken FROM fitted
+  UNION ALL
+  SELECT k.{key}, m.i, CASE WHEN len(list_filter(taken, lambda t: abs(t - m.point) < {max(1, points // 20)})) = 0 THEN list_append(taken, m.point::BIGINT) ELSE taken END
+  FROM kept k JOIN maxima m ON m.{key} IS NOT DISTINCT FROM k.{key} AND m.i = k.i + 1),
+chosen AS (SELECT {key}, arg_max(taken, i) AS taken FROM kept GROUP BY {key}),
+flags AS (
+  SELECT {key}, len(any_value(taken)) = 1 AND min(pdf) >= 0 AS homogeneous FROM chosen JOIN dense{end} USING ({key}) GROUP BY {key}),
+peaks AS (SELECT {key}, generate_subscripts(taken, 1) AS peak, unnest(taken) AS point FROM chosen)"""
+
+
+def clusters(key: str, points: int, threshold: float, end: str = "") -> str:
+    """CTEs that end in clusters({key}, lcb, ucb), from dense and middles."""
+    return f""",
+normal AS (
+  SELECT *, coalesce((pdf - min(pdf) OVER w) / nullif(max(pdf) OVER w - min(pdf) OVER w, 0), 0.5) AS q FROM dense{end} WINDOW w AS (PARTITION BY {key})),
+quiet AS (
+  SELECT *, q + CASE WHEN point = 0 THEN lead(q) OVER w - q WHEN point = {points - 1} THEN q - lag(q) OVER w ELSE (lead(q) OVER w - lag(q) OVER w) / 2 END
+    <= {threshold!r} AS calm FROM normal WINDOW w AS (PARTITION BY {key} ORDER BY point)),
+clusters AS (
+  SELECT {key}, coalesce(max(di) FILTER (calm AND q.point < m.point), min(di)) AS lcb, coalesce(min(di) FILTER (calm AND q.point > m.point), max(di)) AS ucb
+  FROM quiet q JOIN middles{end} m USING ({key}) GROUP BY {key})"""
+
+
+def robust(source: str, key: str) -> str:
+    """A query of ({key}, x, w) with the weights that the data of `source` give in the normalised domain."""
+    z = sql.az("x", "min(x) OVER own", "max(x) OVER own")
+    return f"""WITH RECURSIVE placed AS (SELECT {key}, x, {z} AS z FROM (SELECT {key}, x::DOUBLE AS x FROM ({source})) WINDOW own AS (PARTITION BY {key})),
+ratios AS (SELECT *, z / median(z) OVER (PARTITION BY {key}) AS r FROM placed),
+mean_f AS (SELECT {key}, avg({sql.fi('r')}) AS f FROM ratios GROUP BY {key}),
+{sql.newton("mean_f", [key], "f", "scales", "scale")}
+SELECT {key}, x, pow({sql.fi('r', 'scale')}, 2) AS w FROM ratios JOIN scales USING ({key})"""
+
+
+def cluster_analysis(source: str, key: str, points: int, threshold: float, weighted: bool = False) -> str:
+    """Flags of the global function and the main cluster of the local one, from one fit."""
+    body = fit(source, key, "eldf", "a", weighted) + ",\nglobals AS (SELECT " + key + ", s AS s_local FROM fitted)"
+    body += tops(key, "egdf", "a", points, weighted, locals_="globals", end="_g") + flags(key, points, "_g")
+    body += local_scale(key) + tops(key, "eldf", "a", points, weighted) + clusters(key, points, threshold)
+    return f"WITH RECURSIVE {body}\nSELECT {key}, homogeneous, lcb, ucb FROM flags JOIN clusters USING ({key})"
 
 
 def whole(source: str, key: str, kind: str, form: str, points: int, select: str, weighted: bool = False, empirical: bool = False) -> str:

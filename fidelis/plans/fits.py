@@ -76,6 +76,29 @@ def interval_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.interval_analysis(_small(spark, sf), "s_acctbal", ["k"], ["s_suppkey"])
 
 
+def homogeneity(spark: SparkSession, sf: str) -> DataFrame:
+    found = analysis.homogeneity(_balances(spark, sf), "c_acctbal", ["c_nationkey"])
+    return _peaks(found, "c_nationkey")
+
+
+def homogeneity_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _peaks(analysis.homogeneity(_mixed(spark, sf), "x", ["c_mktsegment"]), "c_mktsegment")
+
+
+def _peaks(found: DataFrame, key: str) -> DataFrame:
+    each = found.select(key, "homogeneous", "z0", F.posexplode_outer("peaks").alias("i", "_p"))
+    return each.select(key, "homogeneous", "z0", (F.col("i") + 1).alias("peak"), F.col("_p.position").alias("position"), F.col("_p.density").alias("density"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances of which a third lie apart from the others."""
+    return _balances(spark, sf).withColumn("x", F.col("c_acctbal") / 1000 + F.when(F.col("c_custkey") % 3 == 0, 40.0).otherwise(0.0))
+
+
+def cluster_analysis_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.cluster_analysis(_mixed(spark, sf), "x", ["c_mktsegment"], homogeneous=False)
+
+
 def stationarity(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("ts")).agg(F.avg("value").alias("value"))
     return analysis.stationarity(rows, "value", ["event_type"], ["ts"])
@@ -94,7 +117,7 @@ def autocovariances(spark: SparkSession, sf: str) -> DataFrame:
 
 def local_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    found = analysis.local_clusters(rows, "c_acctbal", ["c_mktsegment"], ["c_custkey"], [0.2, 0.4, 0.8], points=200, max_points=64)
+    found = analysis.local_clusters(rows, "c_acctbal", ["c_mktsegment"], [0.2, 0.4, 0.8])
     return analysis.assign_clusters(rows, found, "c_acctbal", ["c_mktsegment"])
 
 
@@ -127,6 +150,20 @@ _MEAN_WEIGHTED = fit_sql.whole(
     _WEIGHED.format("c_nationkey"), "c_nationkey", "eldf", "a", 100, "SELECT c_nationkey, z0 AS mean FROM tops", True
 )
 
+_MIXED = "SELECT c_mktsegment, c_acctbal / 1000 + CASE WHEN c_custkey % 3 = 0 THEN 40.0 ELSE 0.0 END AS x FROM customer"
+
+
+def _homogeneity_sql(source: str, key: str, points: int = 500) -> str:
+    body = fit_sql.fit(source, key, "egdf") + f",\nlocals AS (SELECT {key}, s AS s_local FROM fitted)"
+    body += fit_sql.tops(key, "egdf", "a", points) + fit_sql.flags(key, points)
+    return f"""WITH RECURSIVE {body}
+SELECT {key}, homogeneous, z0, peak::INTEGER AS peak, di AS position, pdf AS density
+FROM flags JOIN tops USING ({key}) LEFT JOIN peaks USING ({key}) LEFT JOIN dense USING ({key}, point)"""
+
+
+_SCEDASTICITY = f"""SELECT c_nationkey, NOT heteroscedastic AS homoscedastic, least(s_low, s_high) AS least_scale, greatest(s_low, s_high) AS greatest_scale
+FROM ({fit_sql.varying(_BALANCE, "c_nationkey", "eldf", "a", 2)})"""
+
 QUERIES = {
     **{f"{k}_auto": (_auto(k), _auto_sql(k)) for k in ("egdf", "eldf", "qgdf", "qldf")},
     **{f"{k}_weighted": (_weighted(k), _auto_sql(k, True)) for k in ("egdf", "eldf", "qgdf", "qldf")},
@@ -141,9 +178,14 @@ QUERIES = {
     "std": (_statistic(distributions.std), None),
     "entropy": (_statistic(distributions.entropy), _ENTROPY),
     "error_means": (error_means, None),
-    "homogeneity": (_statistic(analysis.homogeneity, ties=["c_custkey"], points=200), None),
-    "scedasticity": (_statistic(analysis.scedasticity, ties=["c_custkey"], max_points=48), None),
-    "cluster_analysis": (_statistic(analysis.cluster_analysis, ties=["c_custkey"], points=200), None),
+    "homogeneity": (homogeneity, _homogeneity_sql(_BALANCE, "c_nationkey")),
+    "homogeneity_mixed": (homogeneity_mixed, _homogeneity_sql(_MIXED, "c_mktsegment")),
+    "scedasticity": (_statistic(analysis.scedasticity), _SCEDASTICITY),
+    "cluster_analysis": (_statistic(analysis.cluster_analysis), fit_sql.cluster_analysis(_BALANCE, "c_nationkey", 1000, 0.01)),
+    "cluster_analysis_mixed": (
+        cluster_analysis_mixed,
+        fit_sql.cluster_analysis(fit_sql.robust(_MIXED, "c_mktsegment"), "c_mktsegment", 1000, 0.01, True),
+    ),
     "membership": (membership, None),
     "interval_analysis": (interval_analysis, None),
     "stationarity": (stationarity, None),
