@@ -1,8 +1,10 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-A node keeps a vantage point and the median distance to it; the triangle inequality tells
-which side can hold nothing nearer than the neighbours found so far. The bound is relaxed
-by a factor: a side is left out when its least distance times `factor` exceeds the present
+A node parts its vectors at the median rank of their distances to a vantage point, and keeps
+the greatest distance on the near side and the least on the far side; the triangle
+inequality tells which side can hold nothing nearer than the neighbours found so far. Ties
+are parted by rank, so a tree is as deep as the logarithm of its rows whatever they are. The
+bound is relaxed by a factor: a side is left out when its least distance times `factor` exceeds the present
 k-th distance. Factor one prunes only what cannot matter and is exact.
 
 Every row is indexed. Each shard, of bounded size, is met by the stated query set in the task
@@ -31,7 +33,8 @@ K, FACTOR, SHARD_ROWS, BLOCK_ROWS, LEAF = 10, 1.0, 8192, 1024, 256
 @dataclass
 class Node:
     vantage: np.ndarray | None = None
-    radius: float = 0.0
+    near: float = 0.0  # greatest distance inside
+    far: float = 0.0  # least distance outside
     inside: Node | None = None
     outside: Node | None = None
     ids: np.ndarray | None = None
@@ -44,14 +47,9 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> Node:
         return Node(ids=ids, vectors=vectors)
     vantage = vectors[int(((vectors - vectors.mean(0)) ** 2).sum(1).argmax())]
     distance = np.sqrt(((vectors - vantage) ** 2).sum(1))
-    radius = float(np.median(distance))
-    inside = distance <= radius
-    if inside.all():  # copies, or a median that most share
-        inside = distance < radius
-        if not inside.any():
-            return Node(ids=ids, vectors=vectors)
-        radius = float(distance[inside].max())
-    return Node(vantage, radius, build(ids[inside], vectors[inside], leaf), build(ids[~inside], vectors[~inside], leaf))
+    order, half = np.argsort(distance, kind="stable"), len(ids) // 2
+    sides = [build(ids[part], vectors[part], leaf) for part in (order[:half], order[half:])]
+    return Node(vantage, float(distance[order[half - 1]]), float(distance[order[half]]), *sides)
 
 
 class Search:
@@ -71,14 +69,14 @@ class Search:
                     self._scan(node.ids[i : i + 512], node.vectors[i : i + 512], rows[j : j + 256])
             return
         d = np.sqrt(((self.queries[rows] - node.vantage) ** 2).sum(1))
-        near_inside = d <= node.radius
+        near_inside = d <= (node.near + node.far) / 2
         self.visit(node.inside, rows[near_inside])
         self.visit(node.outside, rows[~near_inside])
         # a side's vectors are at least this far away; rounding is left some room
-        least = np.abs(d - node.radius) * self.factor * (1 - 1e-9) - 1e-9
-        open_ = least <= self.distances[rows, -1]
-        self.visit(node.outside, rows[near_inside & open_])
-        self.visit(node.inside, rows[~near_inside & open_])
+        inner, outer = (np.maximum(x, 0) * self.factor * (1 - 1e-9) - 1e-9 for x in (d - node.near, node.far - d))
+        limit = self.distances[rows, -1]
+        self.visit(node.outside, rows[near_inside & (outer <= limit)])
+        self.visit(node.inside, rows[~near_inside & (inner <= limit)])
 
     def _scan(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> None:
         """Merges a leaf's vectors. Products of matrices leave out all that cannot be among the
