@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from pyspark.ml import classification, regression
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions import one_hot
@@ -32,14 +34,28 @@ class TreeModel:
     history: list[dict] = field(default_factory=list)
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """Adds the prediction, and for classifiers the chances of labels where the model has them."""
+        """Adds the prediction, and for classifiers the probability of each label."""
         out = self.model.transform(_assembled(df, self.features))
-        keep = [F.col("prediction").alias(name)]
-        if self.classes is not None:
-            keep = [F.col("prediction").cast("int").alias(name)]
-            if "probability" in out.columns:
-                keep.append(vector_to_array("probability").alias("probability"))
-        return out.select(*df.columns, *keep)
+        if self.classes is None:
+            return out.select(*df.columns, F.col("prediction").alias(name))
+        return out.select(*df.columns, F.col("prediction").cast("int").alias(name), _chances(out).alias("probability"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the spark.ml model and what belongs to it to any path that Spark writes."""
+        self.model.write().overwrite().save(f"{path}/model")
+        about = {k: getattr(self, k) for k in ("features", "label", "classes", "history")} | {"model": type(self.model).__name__}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeModel:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        name = about.pop("model")
+        kind = getattr(classification, name, None) or getattr(regression, name)
+        return cls(kind.load(f"{path}/model"), **about)
+
+    def history_frame(self, spark: SparkSession) -> DataFrame:
+        """(iteration, loss, entropy) of each round of re-weighting."""
+        return spark.createDataFrame([(h["iteration"], float(h["loss"]), float(h["entropy"])) for h in self.history], "iteration int, loss double, entropy double")
 
     def score(self, df: DataFrame) -> float:
         """Robust R2, or accuracy for classifiers."""
@@ -49,6 +65,15 @@ class TreeModel:
         return accuracy(told.withColumn("_y", F.col(self.label).cast("int")), "_y", "_told").first()["accuracy"]
 
 
+def _chances(told: DataFrame) -> Column:
+    """The labels' probabilities: the model's own, or, one against rest, the margins' chances scaled to a sum of one."""
+    if "probability" in told.columns:
+        return vector_to_array("probability")
+    each = F.transform(vector_to_array("_raw"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
+    total = F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
+    return F.transform(each, lambda x: x / total)
+
+
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
 
@@ -79,14 +104,13 @@ class GnosticTrees:
         if self.classes is None:
             return GBTRegressor(**common)
         one = GBTClassifier(**common)
-        return one if self.classes == 2 else OneVsRest(classifier=one, featuresCol="_x", labelCol="_y", weightCol="_w")
+        return one if self.classes == 2 else OneVsRest(classifier=one, featuresCol="_x", labelCol="_y", weightCol="_w", rawPredictionCol="_raw")
 
     def _error(self, told: DataFrame) -> Column:
         if self.classes is None:
             return F.col("prediction") - F.col("_y")
-        p = vector_to_array("probability") if "probability" in told.columns else one_hot(F.col("prediction").cast("int"), self.classes)
         truth = one_hot(F.col("_y").cast("int"), self.classes)
-        return F.sqrt(F.aggregate(F.zip_with(p, truth, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+        return F.sqrt(F.aggregate(F.zip_with(_chances(told), truth, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
 
     def fit(self, df: DataFrame) -> TreeModel:
         rows = _assembled(valid(df, self.label, *self.features), self.features).select("_x", F.col(self.label).cast("double").alias("_y"))

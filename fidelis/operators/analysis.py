@@ -19,7 +19,7 @@ from fidelis.operators.distributions import (
 )
 from fidelis.operators.lineage import cut
 from fidelis.operators.series import sliding
-from fidelis.operators.totals import join_groups
+from fidelis.operators.totals import join_groups, valid
 
 #: Steps of the membership walk, its first step as a share of the range, its decay.
 WALK_STEPS, WALK_STEP, WALK_DECAY = 100, 1e-3, 0.1
@@ -139,10 +139,34 @@ def membership(rows: DataFrame, keys: list[str], points: int = 100, steps: int =
     )
 
 
-def membership_bounds(df: DataFrame, column: str, keys: list[str] = (), ties: list[str] = (), points: int = 100, steps: int = WALK_STEPS, max_points: int = 64) -> DataFrame:
-    """(keys, lsb, usb): how far a further datum may lie for the sample to stay homogeneous."""
-    rows = fitted(samples(df, column, keys, ties, max_points), "egdf", points=points)
-    return membership(rows, list(keys), points, steps)
+def membership_bounds(
+    df: DataFrame, column: str, keys: list[str] = (), form: str = "a", points: int = 500, steps: int = WALK_STEPS, count: int | None = fits.PLACES
+) -> DataFrame:
+    """(keys, lsb, usb): how far a further datum may lie for the sample to stay homogeneous.
+
+    A walk from each data bound outwards adds a datum, anew at each place, and asks whether
+    the sample stays homogeneous; the place before the first refusal is the bound. Places do not
+    depend on the answers, so all are fitted side by side, over the same chunks. Groups that
+    are not homogeneous as they are have their data bounds, as a rule.
+    """
+    sample = fits.sample(df, column, keys, None, count)
+    keys, asked = sample.keys, sample.groups.select(*sample.keys, "dlb", "dub")
+    total, offsets = 0.0, [0.0]
+    for i in range(steps):
+        total += WALK_STEP / (1 + WALK_DECAY * max(0, i - 1))
+        offsets.append(total)
+    walk = F.expr("array(" + ", ".join(f"{x!r}D" for x in offsets) + ")")
+    walked = asked.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1)))).select("*", F.posexplode(walk).alias("_i", "_o"))
+    span = F.col("_o") * (F.col("dub") - F.col("dlb"))
+    additions = walked.withColumn("_at", F.when(F.col("_side") < 0, F.col("dlb") - span).otherwise(F.col("dub") + span))
+    longer = fits.extend(sample, additions, ["_side", "_i"])
+    stays, _ = _global(longer, fits.fit(longer, "egdf", form), form, points)
+    refused = stays.groupBy(*keys, "_side").agg(F.min(F.when(~F.col("homogeneous"), F.col("_i"))).alias("_r"))
+    last = F.coalesce(F.greatest(F.lit(0), F.col("_r") - 1), F.lit(steps))
+    reached = join_groups(additions, refused, [*keys, "_side"]).filter(F.col("_i") == last)
+    return reached.groupBy(*keys).agg(
+        F.max(F.when(F.col("_side") < 0, F.col("_at"))).alias("lsb"), F.max(F.when(F.col("_side") > 0, F.col("_at"))).alias("usb")
+    )
 
 
 def _search_points(z0: Column, end: Column, n: int, dense_zone: float = 0.4, dense_share: float = 0.7) -> Column:
@@ -200,20 +224,26 @@ def interval_analysis(
     )
 
 
-def stationarity(df: DataFrame, column: str, keys: list[str], order: list[str], size: int = 10, max_points: int = MAX_POINTS) -> DataFrame:
+def stationarity(
+    df: DataFrame, column: str, keys: list[str], order: list[str], size: int = 10, form: str = "a", s: float | None = None,
+    points: int = 100, count: int | None = fits.PLACES,
+) -> DataFrame:
     """(keys, windows, stationary): whether the residual entropies of sliding windows are homogeneous.
 
-    Series of fewer than ten windows are not stationary.
+    Each window of `size` successive rows is a group of its own: all are fitted side by side.
+    Series of fewer than ten windows with an entropy are not stationary.
     """
-    from fidelis.operators.distributions import entropies
-
-    windows = sliding(df, column, keys, order, size).withColumnRenamed("window", "data")
-    fits = fitted(windows.withColumn("counts", F.transform("data", lambda _: F.lit(1.0))), "egdf").withColumn("_z0", z0_of())
-    values = cut(fits.select(*keys, *order, entropies("fit", F.col("_z0"), "a")[0].alias("_re")))
-    tested = fitted(samples(values, "_re", keys, order, max_points, least=10), "egdf")
-    counts = values.groupBy(*keys).agg(F.count("_re").alias("windows"))
-    flags = tested.select(*keys, "fit.homogeneous")
-    return join_groups(counts, flags, keys, "left" if keys else "inner").select(*keys, "windows", F.coalesce("homogeneous", F.lit(False)).alias("stationary"))
+    named = {o: f"_o{i}" for i, o in enumerate(order)}
+    windows = sliding(df, column, keys, order, size).withColumnsRenamed(named)
+    each = windows.select(*keys, *named.values(), F.explode("window").alias("_v"))
+    sample = fits.sample(each, "_v", [*keys, *named.values()], None, count)
+    found = fits.with_z0(sample, fits.fit(sample, "egdf", form, s), "egdf", form, points, s)
+    values = cut(fits.about_z0(sample, found, form).select(*keys, F.col("residual_entropy").alias("_re")))
+    counts = valid(values, "_re").groupBy(*keys).agg(F.count("*").alias("windows"))
+    entropies = fits.sample(values, "_re", keys, None, count)
+    flags, _ = _global(entropies, fits.fit(entropies, "egdf", "a", s), "a", points)
+    whole = join_groups(counts, flags.select(*keys, "homogeneous"), list(keys))
+    return whole.select(*keys, "windows", ((F.col("windows") >= 10) & F.col("homogeneous")).alias("stationary"))
 
 
 def _mean_h(rows: DataFrame, case: str, name: str, points: int = 100) -> DataFrame:

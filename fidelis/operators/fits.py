@@ -63,17 +63,30 @@ class Sample:
     `chunks` has the keys, and arrays _xs, _cs and _ws of distinct values, their counts and
     weights; `groups` has the keys, n, dlb, dub, median and _places, an array of (p, x, target,
     wedf, weight). Both are checkpointed; `held` is the size of the groups' side in bytes.
+    Of samples that extend() makes `by` are the chunks' keys, which several groups share, and
+    _at in `groups` is the datum that each group has besides.
     """
 
     chunks: DataFrame
     groups: DataFrame
     keys: list[str]
     held: int
+    by: list[str]
+    count: int | None
+    added: tuple[str, ...] = ()
 
     def rows(self) -> DataFrame:
         """(keys, _x, _c, _w) of distinct values."""
-        each = self.chunks.select(*self.keys, F.explode(F.arrays_zip("_xs", "_cs", "_ws")).alias("_e"))
-        return each.select(*self.keys, F.col("_e._xs").alias("_x"), F.col("_e._cs").alias("_c"), F.col("_e._ws").alias("_w"))
+        each = self.chunks.select(*self.by, F.explode(F.arrays_zip("_xs", "_cs", "_ws")).alias("_e"))
+        return each.select(*self.by, F.col("_e._xs").alias("_x"), F.col("_e._cs").alias("_c"), F.col("_e._ws").alias("_w"))
+
+    def met(self, groups: DataFrame) -> DataFrame:
+        """rows() of each group, with the group's columns."""
+        whole = join_groups(self.rows(), self.sided(groups), self.by)
+        if not self.added:
+            return whole
+        own = groups.withColumns({"_x": F.col("_at"), "_c": F.lit(1).cast("long"), "_w": F.lit(1.0)})
+        return whole.unionByName(own.select(*whole.columns))
 
     def sided(self, groups: DataFrame) -> DataFrame:
         return F.broadcast(groups) if self.held <= BROADCAST_BYTES else groups
@@ -106,7 +119,7 @@ def sample(
     chunks = cut(dealt.select(*keys, *arrays).repartition(tasks))
     groups = cut(places(ranked, keys, count))
     size = groups.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
-    return Sample(chunks, groups, keys, 40 * (size["p"] or 0) + 4096 * size["g"])
+    return Sample(chunks, groups, keys, 72 * (size["p"] or 0) + 4096 * size["g"], keys, count)
 
 
 def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> DataFrame:
@@ -122,27 +135,75 @@ def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> Da
     whole = with_totals(
         ranked, keys, F.sum("_c").alias("n"), F.sum("_w").alias("_all"), F.min("_x").alias("dlb"), F.max("_x").alias("dub")
     )
-    c, b, n = F.col("_c"), F.col("_kc") - F.col("_c"), F.col("n")
-    steps = (n if count is None else F.least(n, F.lit(count))) - 1
-    last = F.greatest(n - 1, F.lit(1))
-    upward = lambda x: F.floor((x * steps + last - 1) / last).cast("long") if count is not None else x
-    # a single place is that of the first row
-    to = F.when(steps == 0, F.when(b == 0, 0).otherwise(-1)).otherwise(F.least(steps, upward(b + c) - 1))
-    rank = F.floor(F.col("p") * last / F.greatest(steps, F.lit(1))).cast("long") if count is not None else F.col("p")
-    own = F.col("_w") / c
+    c, b, n, own = F.col("_c"), F.col("_kc") - F.col("_c"), F.col("n"), F.col("_w") / F.col("_c")
+    kept, rank = _at_ranks(whole, n, count, 0)
     x, low, high = F.col("_x"), F.col("dlb"), F.col("dub")
     reached = (F.col("_kw") - F.col("_w") - F.col("_last") / 2) / F.col("_all")
     wedf = F.when(x <= low, 0.0).when(x >= high, 1.0).otherwise(reached)
     values = {"x": x, "target": (rank + 0.5) / n, "wedf": wedf, "weight": F.try_divide(own * n, F.col("_all"))}
-    kept = whole.withColumn("p", F.explode(F.when(upward(b) <= to, F.sequence(upward(b), to))))
     spots = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", *[v.alias(k) for k, v in values.items()]))).alias("_places"))
-    covers = lambda r: (F.col("_kc") >= r) & (b < r)
-    low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
-    middle = (F.max(F.when(covers(low), F.col("_x"))) + F.max(F.when(covers(high), F.col("_x")))) / 2
-    ends = whole.groupBy(*keys, "n", "dlb", "dub").agg(middle.alias("median"))
+    covers = lambda r: (b + c > r) & (b <= r)
+    at = lambda r: F.max(F.when(covers(r), x))
+    ends = whole.groupBy(*keys, "n", "dlb", "dub").agg(((at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2).alias("median"))
     return join_groups(ends, spots, keys)
 
 
+def _at_ranks(whole: DataFrame, n: Column, count: int | None, shift: int) -> tuple[DataFrame, Column]:
+    """Rows with the place p that falls on them, and its rank from 0 on, of n rows: rows' own ranks are moved up by `shift`."""
+    c, b = F.col("_c"), F.col("_kc") - F.col("_c") + shift
+    if count is None:
+        return whole.withColumn("p", F.explode(F.sequence(b, b + c - 1))), F.col("p")
+    steps, last = F.least(n, F.lit(count)) - 1, F.greatest(n - 1, F.lit(1))
+    upward = lambda x: F.floor((x * steps + last - 1) / last).cast("long")
+    # a single place is that of the first row
+    to = F.when(steps == 0, F.when(b == 0, 0).otherwise(-1)).otherwise(F.least(steps, upward(b + c) - 1))
+    rank = F.floor(F.col("p") * last / F.greatest(steps, F.lit(1))).cast("long")
+    return whole.withColumn("p", F.explode(F.when(upward(b) <= to, F.sequence(upward(b), to)))), rank
+
+
+def extend(sample: Sample, additions: DataFrame, tags: list[str]) -> Sample:
+    """A sample of each row of `additions` (the keys, tags, _at): its group of `sample`, which has no weights, and the datum _at besides.
+
+    The chunks stay as they are; a datum's own terms are added where groups meet them. Places
+    are those of n + 1 rows, taken from the group's rows next to the ranks that they fall on.
+    """
+    keys, by = [*sample.keys, *tags], sample.keys
+    counted = with_totals(
+        running_sums(sample.rows(), by, "_x", {"_kc": F.col("_c")}, []), by, F.sum("_c").alias("n"), F.min("_x").alias("dlb"), F.max("_x").alias("dub")
+    )
+    sides = []
+    for name, shift in (("_low", 0), ("_high", 1)):
+        rows, _ = _at_ranks(counted, F.col("n") + 1, sample.count, shift)
+        sides.append(rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("p", "_x"))).alias(name)))
+    b, c = F.col("_kc") - F.col("_c"), F.col("_c")
+    at = lambda r: F.max(F.when((b <= r) & (r < b + c), F.col("_x")))
+    middle = {f"_m{i}": at(r) for i, r in enumerate((F.floor(F.col("n") / 2) - 1, F.floor(F.col("n") / 2), F.ceil(F.col("n") / 2) - 1, F.ceil(F.col("n") / 2)))}
+    ends = counted.groupBy(*by, "n", "dlb", "dub").agg(*[v.alias(k) for k, v in middle.items()])
+    base = cut(join_groups(join_groups(ends, sides[0], by), sides[1], by))
+    asked = cut(additions.select(*keys, "_at"))
+    below = join_groups(sample.rows(), sample.sided(asked), by).groupBy(*keys).agg(F.sum(F.when(F.col("_x") < F.col("_at"), F.col("_c")).otherwise(0)).alias("_pos"))
+    renamed = base.withColumnsRenamed({"n": "_n", "dlb": "_least", "dub": "_most"})
+    wide = join_groups(join_groups(asked, renamed, by), below, keys)
+    pos, last = F.col("_pos"), F.col("_n")
+    n, m = last + 1, last if sample.count is None else F.least(last, F.lit(sample.count - 1))
+    own = lambda r, low, high: F.when(r < pos, low).when(r == pos, F.col("_at")).otherwise(high)
+    first, second = F.floor(last / 2), F.ceil(last / 2)
+    median = (own(first, F.col("_m1"), F.col("_m0")) + own(second, F.col("_m3"), F.col("_m2"))) / 2
+
+    def place(p: Column) -> Column:
+        rank = p if sample.count is None else F.floor(p * last / F.greatest(m, F.lit(1))).cast("long")
+        x = own(rank, F.col("_low")[p], F.col("_high")[p])
+        return F.struct(p.alias("p"), x.alias("x"), ((rank + 0.5) / n).alias("target"), F.lit(0.0).alias("wedf"), F.lit(1.0).alias("weight"))
+
+    groups = wide.select(
+        *keys, n.alias("n"), F.least("_least", "_at").alias("dlb"), F.greatest("_most", "_at").alias("dub"), median.alias("median"),
+        F.transform(F.sequence(F.lit(0).cast("long"), m), place).alias("_places"), "_at",
+    )
+    whole = cut(groups)
+    size = whole.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
+    return Sample(sample.chunks, whole, keys, 72 * (size["p"] or 0) + 4096 * size["g"], by, sample.count, ("_at",))
+
+
 def start_bounds(form: str) -> tuple[Column, Column]:
     """Bounds half a range (by ratio in the multiplicative form) beyond the ends, in the normalised domain."""
     low, high = F.col("dlb"), F.col("dub")
@@ -246,8 +307,11 @@ def moments(sample: Sample, asked: DataFrame, form: str, estimating: bool, round
     _pw of places, their targets and weights. The scale at a place z is s exp(g z), `rounded`
     to a tenth and LEAST_SCALE at least if so asked.
     """
-    keys = sample.keys
-    met = join_groups(sample.chunks, sample.sided(asked.select(*keys, "dlb", "dub", *_ASKED)), keys)
+    keys, columns = sample.keys, ["_xs", "_ws", "dlb", "dub", *_ASKED]
+    met = join_groups(sample.chunks, sample.sided(asked.select(*keys, "dlb", "dub", *_ASKED)), sample.by).select(*keys, *columns)
+    if sample.added:
+        own = asked.withColumns({"_xs": F.array("_at"), "_ws": F.array(F.lit(1.0))}).select(*keys, *columns)
+        met = met.unionByName(own).repartition(sample.chunks.rdd.getNumPartitions(), *keys)
     schema = StructType([met.schema[k] for k in keys])
     for name, kind in (("c", IntegerType()), ("p", IntegerType()), *((n, DoubleType()) for n in ("s", "lb", "ub", "g", "target", "weight", *_SUMS))):
         schema = schema.add(name, kind)
@@ -326,7 +390,7 @@ def _asked(groups: DataFrame, candidates: dict[str, Column], keys: list[str], ta
     """What moments() needs of groups with _places, for arrays of candidates by name."""
     names = [candidates[n].alias(f"_{n}") for n in ("s", "lb", "ub", "g")]
     spots = [F.col(f"_places.{n}").alias(c) for n, c in (("x", "_px"), (target, "_pt"), ("weight", "_pw"))]
-    return groups.select(*keys, "dlb", "dub", *names, *spots)
+    return groups.select(*keys, "dlb", "dub", *names, *spots, *(c for c in ("_at",) if c in groups.columns))
 
 
 def _climbed(keys: list[str]) -> Column:
@@ -380,6 +444,7 @@ def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = N
             F.coalesce("_best.ub", ub).alias("ub"),
             F.col("_best.loss").alias("loss"),
             F.coalesce("_best.mean_f", F.lit(1.0)).alias("mean_f"),
+            *sample.added,
         )
     )
 
@@ -387,7 +452,7 @@ def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = N
 def with_local_scale(sample: Sample, fits: DataFrame, form: str = "a") -> DataFrame:
     """`fits` with s_local: the scale of the mean fidelity of rows about the median at scale one."""
     z, keys = _convert(form), sample.keys
-    met = join_groups(sample.rows(), sample.sided(fits.select(*keys, "dlb", "dub", "lb", "ub", "median")), keys)
+    met = sample.met(fits.select(*keys, "dlb", "dub", "lb", "ub", "median", *sample.added))
     inner = lambda x: fininf(z(F.col(x), F.col("dlb"), F.col("dub")), F.col("lb"), F.col("ub"))
     f = fidelity_i(*q_pair(F.try_divide(inner("_x"), inner("median") + F.lit(EPS)), 1.0))
     means = met.select(*keys, f.alias("_f"), "_c").groupBy(*keys).agg(_mean(F.col("_f")).alias("_f"))
@@ -411,7 +476,7 @@ def curves(sample: Sample, fits: DataFrame, kind: str, form: str = "a", points:
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
     none = F.transform(grid, lambda x: F.lit(0.0))
     listed = (one(scale), one("lb"), one("ub"), one(F.lit(0.0) if gamma is None else gamma), grid, none, none)
-    asked = fits.select(*keys, "dlb", "dub", *[v.cast("array<double>").alias(n) for n, v in zip(_ASKED, listed, strict=True)])
+    asked = fits.select(*keys, "dlb", "dub", *sample.added, *[v.cast("array<double>").alias(n) for n, v in zip(_ASKED, listed, strict=True)])
     means = moments(sample, asked, form, kind[0] == "e", gamma is not None, True)
     lo, hi = F.col("dlb"), F.col("dub")
     whole = join_groups(means, sample.sided(fits.select(*keys, "dlb", "dub")), keys).withColumns({"di": at(F.col("p")), "_v": distribution(kind)})
@@ -460,7 +525,7 @@ def about_z0(sample: Sample, fits: DataFrame, form: str = "a") -> DataFrame:
     variances are mean squared irrelevances at s_local, entropies are at s_opt.
     """
     z, keys = _convert(form), sample.keys
-    met = join_groups(sample.rows(), sample.sided(fits), keys)
+    met = sample.met(fits)
     inner = fininf(z(F.col("_x"), F.col("dlb"), F.col("dub")), F.col("lb"), F.col("ub"))
     ratio = F.try_divide(inner, z(F.col("z0"), F.col("dlb"), F.col("dub")) + F.lit(EPS))
     local, whole = q_pair(ratio, F.col("s_local")), q_pair(ratio, F.col("s_opt"))

@@ -69,7 +69,7 @@ def _small(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.membership_bounds(_small(spark, sf), "s_acctbal", ["k"], ["s_suppkey"])
+    return analysis.membership_bounds(_small(spark, sf), "s_acctbal", ["k"])
 
 
 def interval_analysis(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +161,47 @@ SELECT {key}, homogeneous, z0, peak::INTEGER AS peak, di AS position, pdf AS den
 FROM flags JOIN tops USING ({key}) LEFT JOIN peaks USING ({key}) LEFT JOIN dense USING ({key}, point)"""
 
 
+def _flagged(of: str, by: str, points: int) -> str:
+    """A query of ({by}, homogeneous) for the rows ({by}, x) of `of`."""
+    return f"""(WITH RECURSIVE {fit_sql.fit(of, by, "egdf")},
+locals AS (SELECT {by}, s AS s_local FROM fitted){fit_sql.tops(by, "egdf", "a", points)}{fit_sql.flags(by, points)}
+SELECT {by}, homogeneous FROM flags)"""
+
+
+_DAILY = "SELECT event_type, date_trunc('day', ts) AS ts, avg(value) AS v FROM events GROUP BY ALL"
+_WINDOWS = f"""
+WITH RECURSIVE daily AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM ({_DAILY})),
+windows AS MATERIALIZED (
+  SELECT a.event_type || '/' || a.i AS g, b.v AS x FROM daily a JOIN daily b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 9
+  QUALIFY count(*) OVER (PARTITION BY a.event_type, a.i) = 10),
+entropies AS MATERIALIZED (
+  SELECT split_part(g, '/', 1) AS event_type, re AS x FROM (
+    {fit_sql.whole("SELECT g, x FROM windows", "g", "egdf", "a", 100, fit_sql.about_z0("g", "a", f"2 * (avg({sql.fj('r', 's')}) - 1) AS re"))}))
+SELECT event_type, count(*) AS windows, count(*) >= 10 AND any_value(homogeneous) AS stationary
+FROM entropies JOIN {_flagged("SELECT event_type, x FROM entropies", "event_type", 100)} USING (event_type) GROUP BY event_type"""
+
+
+def _membership_sql(source: str, key: str, points: int = 500, steps: int = analysis.WALK_STEPS) -> str:
+    """The walk's samples as groups of their own, named by group, side and step."""
+    total, offsets = 0.0, [0.0]
+    for i in range(steps):
+        total += analysis.WALK_STEP / (1 + analysis.WALK_DECAY * max(0, i - 1))
+        offsets.append(total)
+    walk = "(VALUES " + ", ".join(f"({i}, {o!r}::DOUBLE)" for i, o in enumerate(offsets)) + ")"
+    longer = f"SELECT g, x FROM walked JOIN base USING ({key}) UNION ALL SELECT g, spot FROM walked"
+    return f"""
+WITH base AS MATERIALIZED (SELECT {key}, x::DOUBLE AS x FROM ({source}) WHERE isfinite(x::DOUBLE)),
+ends AS (SELECT {key}, min(x) AS dlb, max(x) AS dub FROM base GROUP BY {key}),
+walked AS MATERIALIZED (
+  SELECT {key}, side, i, {key} || '/' || side || '/' || i AS g, CASE WHEN side < 0 THEN dlb - o * (dub - dlb) ELSE dub + o * (dub - dlb) END AS spot
+  FROM ends, (VALUES (-1), (1)) s(side), {walk} w(i, o)),
+stays AS MATERIALIZED (SELECT * FROM {_flagged(longer, "g", points)}),
+refused AS (
+  SELECT {key}, side, coalesce(greatest(0, min(i) FILTER (NOT homogeneous) - 1), {steps}) AS i FROM walked JOIN stays USING (g) GROUP BY ALL)
+SELECT {key}, max(spot) FILTER (side < 0) AS lsb, max(spot) FILTER (side > 0) AS usb FROM walked JOIN refused USING ({key}, side, i) GROUP BY {key}"""
+
+
+_SUPPLIERS = "SELECT s_nationkey % 3 AS k, s_acctbal AS x FROM supplier"
 _SCEDASTICITY = f"""SELECT c_nationkey, NOT heteroscedastic AS homoscedastic, least(s_low, s_high) AS least_scale, greatest(s_low, s_high) AS greatest_scale
 FROM ({fit_sql.varying(_BALANCE, "c_nationkey", "eldf", "a", 2)})"""
 
@@ -186,9 +227,9 @@ QUERIES = {
         cluster_analysis_mixed,
         fit_sql.cluster_analysis(fit_sql.robust(_MIXED, "c_mktsegment"), "c_mktsegment", 1000, 0.01, True),
     ),
-    "membership": (membership, None),
+    "membership": (membership, _membership_sql(_SUPPLIERS, "k")),
     "interval_analysis": (interval_analysis, None),
-    "stationarity": (stationarity, None),
+    "stationarity": (stationarity, _WINDOWS),
     "covariances": (covariances, None),
     "autocovariances": (autocovariances, None),
     "local_clusters": (local_clusters, None),
