@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fidelis.operators import fits, peaks
 from fidelis.operators.distributions import (
@@ -246,52 +247,72 @@ def stationarity(
     return whole.select(*keys, "windows", ((F.col("windows") >= 10) & F.col("homogeneous")).alias("stationary"))
 
 
-def _mean_h(rows: DataFrame, case: str, name: str, points: int = 100) -> DataFrame:
-    """Adds `name`: mean irrelevances at the (sorted) data; at S=1 where not homogeneous."""
-    if case == "i":
-        rows = fitted(rows, "egdf", points=points)
-        fixed = fitted(rows, "egdf", points=2, s=1.0, name="_h")
-        return fixed.withColumn(name, F.when(F.col("fit.homogeneous"), F.col("fit.h_rows")).otherwise(F.col("_h.h_rows"))).drop("fit", "_h")
-    h = F.transform("_h.h_rows", lambda x: F.least(F.lit(1e12), F.greatest(F.lit(1.0), x)))
-    return fitted(rows, "qgdf", points=2, name="_h").withColumn(name, h).drop("_h")
+def _pair_fits(df: DataFrame, columns: tuple[str, str], keys: list[str], case: str, form: str, count: int | None, settle: bool) -> tuple[DataFrame, DataFrame]:
+    """The global fits of two columns, side by side; if they are to `settle`, at S = 1 where a group is not homogeneous (estimating case)."""
+    each = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    sample = fits.sample(df.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*"), "_v", [*keys, "_which"], None, count)
+    found = fits.fit(sample, "qgdf" if case == "j" else "egdf", form)
+    if settle and case == "i":
+        flags, _ = _global(sample, found, form, 500)
+        flags = cut(flags.select(*sample.keys, "homogeneous"))
+        fixed = fits.fit(sample, "egdf", form, 1.0)
+        chosen = [join_groups(x, flags.filter(keep).select(*sample.keys), sample.keys) for x, keep in ((found, "homogeneous"), (fixed, "not homogeneous"))]
+        found = cut(chosen[0].unionByName(chosen[1]))
+    return tuple(found.filter(F.col("_which") == i).drop("_which") for i in (0, 1))
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
-
-
-def covariances(df: DataFrame, first: str, second: str, keys: list[str] = (), ties: list[str] = (), case: str = "i", max_points: int = MAX_POINTS) -> DataFrame:
-    """(keys, covariance, correlation) of two columns' mean irrelevances, paired by rank.
+def correlation(
+    df: DataFrame, first: str, second: str, keys: list[str] = (), case: str = "i", form: str = "a", count: int | None = fits.PLACES
+) -> DataFrame:
+    """(keys, correlation) of two columns' whole matrices of irrelevances, paired by rank.
 
-    Fits sort their data, so values are paired by rank rather than by row. Groups are summed
-    up to the same number of bins on both sides.
+    The mean of products over all pairs of ranks, over the root of the product of the mean
+    squares; null where that is zero. Fits sort their data, so values are paired by rank rather
+    than by row. Work grows with the square of a group, in blocks of bounded size.
     """
-    keys = list(keys)
-    both = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    a = _mean_h(samples(both, first, keys, ties, max_points), case, "_a").select(*keys, "_a")
-    b = _mean_h(samples(both, second, keys, ties, max_points), case, "_b").select(*keys, "_b")
-    return join_groups(a, b, keys).select(
-        *keys, (_dot("_a", "_b") / F.size("_a")).alias("covariance"), F.try_divide(_dot("_a", "_b"), F.sqrt(_dot("_a", "_a") * _dot("_b", "_b"))).alias("correlation")
-    )
+    keys, both = list(keys), valid(df, first, second)
+    fitted_ = _pair_fits(both, (first, second), keys, case, form, count, False)
+    sums = fits.pair_sums(fits.rank_pairs(both, first, second, keys), fitted_, keys, form, case, False)
+    return sums.select(*keys, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
+
+
+def _mean_products(df: DataFrame, first: str, second: str, keys: list[str], case: str, form: str, count: int | None) -> DataFrame:
+    """(keys, n, xy, xx, yy): sums of products of two columns' mean irrelevances at their data, paired by rank."""
+    fitted_ = _pair_fits(df, (first, second), keys, case, form, count, True)
+    sums = fits.pair_sums(fits.rank_pairs(df, first, second, keys), fitted_, keys, form, case, True)
+    sizes = fitted_[0].select(*keys, "n")
+    means = join_groups(sums, sizes, keys)
+    for c in ("x", "y"):
+        mean = F.col(c) / F.col("n")
+        means = means.withColumn(c, mean if case == "i" else F.least(F.lit(1e12), F.greatest(F.lit(1.0), mean)))
+    product = lambda a, b, name: F.sum(F.col(a) * F.col(b)).alias(name)
+    return means.groupBy(*keys).agg(F.count("*").alias("n"), product("x", "y", "xy"), product("x", "x", "xx"), product("y", "y", "yy"))
+
+
+def covariances(
+    df: DataFrame, first: str, second: str, keys: list[str] = (), case: str = "i", form: str = "a", count: int | None = fits.PLACES
+) -> DataFrame:
+    """(keys, covariance): the mean product of two columns' mean irrelevances, paired by rank (see correlation())."""
+    keys, both = list(keys), valid(df, first, second)
+    return _mean_products(both, first, second, keys, case, form, count).select(*keys, (F.col("xy") / F.col("n")).alias("covariance"))
 
 
-def autocovariances(df: DataFrame, column: str, keys: list[str], order: list[str], lag: int, case: str = "i", max_points: int = MAX_POINTS) -> DataFrame:
+def autocovariances(
+    df: DataFrame, column: str, keys: list[str], order: list[str], lag: int, case: str = "i", form: str = "a", count: int | None = fits.PLACES
+) -> DataFrame:
     """(keys, covariance, correlation) of a series with itself `lag` rows later.
 
     covariance divides the sum over n - lag pairs by n - 2 lag, as in the definition that
     this follows; 0 where that is zero.
     """
-    from pyspark.sql.window import Window
-
+    keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_later", F.lead(column, lag).over(w)).filter("_later is not null")
-    a = _mean_h(samples(rows, column, keys, order, max_points), case, "_a").select(*keys, "_a")
-    b = _mean_h(samples(rows, "_later", keys, order, max_points), case, "_b").select(*keys, "_b")
-    n = F.size("_a") - lag
-    return join_groups(a, b, keys).select(
+    rows = valid(df.select(*keys, *order, F.col(column).alias("_now")).withColumn("_later", F.lead("_now", lag).over(w)), "_now", "_later")
+    sums = _mean_products(rows, "_now", "_later", keys, case, form, count)
+    return sums.select(
         *keys,
-        F.coalesce(F.try_divide(_dot("_a", "_b"), n), F.lit(0.0)).alias("covariance"),
-        F.try_divide(_dot("_a", "_b"), F.sqrt(_dot("_a", "_a") * _dot("_b", "_b"))).alias("correlation"),
+        F.coalesce(F.try_divide(F.col("xy"), F.col("n") - lag), F.lit(0.0)).alias("covariance"),
+        F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"),
     )
 
 

@@ -287,7 +287,8 @@ def entropy(
 def error_means(df: DataFrame, y: str, predicted: str, keys: list[str] = (), count: int | None = PLACES) -> DataFrame:
     """(keys, mae, mse, rmse): robust means of absolute and squared errors."""
     e = F.col(y).cast("double") - F.col(predicted).cast("double")
-    rows = df.withColumns({"_abs": F.abs(e), "_square": e * e})
-    a = mean(rows, "_abs", keys, count=count).withColumnRenamed("mean", "mae")
-    b = mean(rows, "_square", keys, count=count).withColumnRenamed("mean", "mse")
-    return join_groups(a, b, list(keys)).withColumn("rmse", F.sqrt("mse"))
+    each = F.array(*[F.struct(F.lit(n).alias("_which"), v.alias("_v")) for n, v in (("mae", F.abs(e)), ("mse", e * e))])
+    stacked = df.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*")
+    found = mean(stacked, "_v", [*keys, "_which"], count=count)
+    own = lambda n: F.max(F.when(F.col("_which") == n, F.col("mean"))).alias(n)
+    return found.groupBy(*keys).agg(own("mae"), own("mse")).withColumn("rmse", F.sqrt("mse"))

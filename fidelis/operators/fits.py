@@ -29,7 +29,7 @@ from fidelis.functions import az, fidelity_i, fidelity_j, fininf, gnostic_scale,
 from fidelis.functions.characteristics import MAX_EXPONENT, R_EPS, R_MAX
 from fidelis.functions.convert import EPS as Z_EPS
 from fidelis.operators.lineage import cut
-from fidelis.operators.totals import join_groups, running_sums, valid, with_totals
+from fidelis.operators.totals import join_groups, running, running_sums, valid, with_totals
 from fidelis.operators.weights import gnostic_weights, normalised
 
 EPS, PLACES = sys.float_info.epsilon, 64
@@ -590,3 +590,71 @@ def varying(sample: Sample, fits: DataFrame, kind: str, form: str = "a") -> Data
             F.col("_best.score").alias("score"),
         )
     )
+
+
+_PAIR = ("_xs", "_ys", "_xt", "_yt")
+_OWN = ("dlb", "dub", "s_opt", "lb", "ub")
+
+
+def rank_pairs(df: DataFrame, first: str, second: str, keys: list[str]) -> DataFrame:
+    """(keys, _chunk, _ks, _xs, _ys): the values of two columns of the same rank in their groups, in chunks of ranks.
+
+    Rows in which either is no number take no part.
+    """
+    both = valid(df.select(*keys, F.col(first).cast("double").alias("_x"), F.col(second).cast("double").alias("_y")), "_x", "_y")
+    x, y = (running(both.select(*keys, c), keys, c, F.lit(1), "_k", []) for c in ("_x", "_y"))
+    rows = join_groups(x, y, [*keys, "_k"])
+    listed = rows.groupBy(*keys, F.floor((F.col("_k") - 1) / CHUNK).alias("_chunk")).agg(F.collect_list(F.struct("_k", "_x", "_y")).alias("_p"))
+    return cut(listed.select(*keys, "_chunk", *[F.col(f"_p.{c}").alias(f"{c}s") for c in ("_k", "_x", "_y")]))
+
+
+def pair_sums(pairs: DataFrame, fitted: tuple[DataFrame, DataFrame], keys: list[str], form: str, case: str, columns: bool) -> DataFrame:
+    """Sums over irrelevances h[i, j] of ranks i and j, of two columns that each have a fit.
+
+    Without `columns` (keys, xy, xx, yy, n), sums of products over all i and j; with it (keys, k, x, y), sums
+    over i of each column's own. Chunks of ranks meet chunks of ranks, a block in one task at a
+    time; the quantifying irrelevances of whole sums are kept between 1 and 1e12.
+    """
+    met = pairs
+    for name, own in zip("xy", fitted, strict=True):
+        met = join_groups(met, own.select(*keys, F.array(*_OWN).alias(f"_{name}f")), keys)
+    other = pairs.select(*keys, F.col("_ks").alias("_kt"), F.col("_xs").alias("_xt"), F.col("_ys").alias("_yt"))
+    blocks = join_groups(met, other, keys) if keys else met.crossJoin(other)
+    spread = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.sparkSession.sparkContext.defaultParallelism)
+    blocks = blocks.select(*keys, "_kt", "_xf", "_yf", *_PAIR).repartition(spread)
+    names = ("k", "x", "y") if columns else ("xy", "xx", "yy", "n")
+    schema = StructType([blocks.schema[k] for k in keys])
+    for n in names:
+        schema = schema.add(n, DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], [[] for _ in names]
+            lists = {c: batch.column(c) for c in ("_kt", "_xf", "_yf", *_PAIR)}
+            for row in range(batch.num_rows):
+                own = {c: lists[c][row].values.to_numpy(zero_copy_only=False).astype(float) for c in lists}
+                h = [_irrelevances(own[f"_{n}s"], own[f"_{n}t"], own[f"_{n}f"], form, case) for n in "xy"]
+                if columns:
+                    values = [own["_kt"], *(m.sum(0) for m in h)]
+                else:
+                    h = [np.clip(m, 1, 1e12) for m in h] if case == "j" else h
+                    values = [np.array([v]) for v in ((h[0] * h[1]).sum(), (h[0] * h[0]).sum(), (h[1] * h[1]).sum(), h[0].size)]
+                rows.append(np.full(len(values[0]), row))
+                for to, v in zip(out, values, strict=True):
+                    to.append(v)
+            if rows:
+                taken = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), *(pa.array(np.concatenate(o), pa.float64()) for o in out)], schema.names)
+
+    parts = blocks.mapInArrow(run, schema)
+    by = [*keys, "k"] if columns else keys
+    return parts.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names if n not in by])
+
+
+def _irrelevances(data: np.ndarray, places: np.ndarray, own: np.ndarray, form: str, case: str) -> np.ndarray:
+    low, high, s, lb, ub = own.tolist()
+    with np.errstate(all="ignore"):
+        zs, zp = ((np.exp((2 * x - high - low) / ((high - low) + Z_EPS)) if form == "a" else np.exp(2 * np.log(x / low) / np.log(high / low) - 1)) for x in (data, places))
+        at, over = ((z - lb) / (1 - z / ub + Z_EPS) for z in (zs, zp))
+        y = np.clip(2 / s * np.log(np.minimum(np.abs(at[:, None] / (over + EPS)[None]) + R_EPS, R_MAX)), -Y_MAX, Y_MAX)
+        return _terms(case == "i", y)[1]

@@ -74,7 +74,7 @@ best{i} AS MATERIALIZED (
 at{i} AS MATERIALIZED (SELECT {key}, c.s, c.lb, c.ub, b.loss, b.mean_f, c.dlb, c.dub, c.n FROM best{i} b JOIN cands{i} c USING ({key}, c))"""
 
 
-def fit(source: str, key: str, kind: str, form: str = "a", weighted: bool = False, empirical: bool = False) -> str:
+def fit(source: str, key: str, kind: str, form: str = "a", weighted: bool = False, empirical: bool = False, s: float | None = None) -> str:
     """CTEs (for WITH RECURSIVE) that end in fitted({key}, s, lb, ub, loss, mean_f, dlb, dub, n); `source` gives ({key}, x), and w if weighted.
 
     Weighted, a row's distance is multiplied by its weight; rows of equal values share their
@@ -107,12 +107,12 @@ places AS MATERIALIZED (
 sizes AS (SELECT {key}, dlb, dub, count(*) AS n FROM values_ GROUP BY ALL),
 cands0 AS MATERIALIZED (
   SELECT {key}, dlb, dub, n, c, s, CASE WHEN c = 0 THEN {_z(low, form)} ELSE lb END AS lb, CASE WHEN c = 0 THEN {_z(high, form)} ELSE ub END AS ub
-  FROM sizes, {_values(fits.coarse(None))} t(c, s, lb, ub) WHERE dub > dlb),"""
+  FROM sizes, {_values(fits.coarse(s))} t(c, s, lb, ub) WHERE dub > dlb),"""
     out += _round(0, key, core, form, weighted, empirical)
     for i, step in enumerate(fits.ROUNDS, 1):
         inside = lambda n: f"greatest(least(a.{n} * t.{n}, {fits.BOX[n][1]!r}), {fits.BOX[n][0]!r}) AS {n}"
         out += f""",
-cands{i} AS MATERIALIZED (SELECT {key}, dlb, dub, n, t.c, {inside("s")}, {inside("lb")}, {inside("ub")} FROM at{i - 1} a, {_values(fits.cube(None, step))} t(c, s, lb, ub)),"""
+cands{i} AS MATERIALIZED (SELECT {key}, dlb, dub, n, t.c, {inside("s")}, {inside("lb")}, {inside("ub")} FROM at{i - 1} a, {_values(fits.cube(s, step))} t(c, s, lb, ub)),"""
         out += _round(i, key, core, form, weighted, empirical)
     return out + f""",
 fitted AS MATERIALIZED (SELECT * FROM at{len(fits.ROUNDS)})"""
@@ -207,6 +207,30 @@ clusters AS (
   FROM quiet q JOIN middles{end} m USING ({key}) GROUP BY {key})"""
 
 
+def pairs(source: str, key: str, core: str, settle: bool) -> str:
+    """CTEs that end in hx and hy({key}, i, j, h): irrelevances of ranks i and j of the columns x and y of `source`.
+
+    To `settle`, groups that are not homogeneous are fitted at S = 1.
+    """
+    _, h = _f_h(core[0] == "e")
+    out = f"twice AS MATERIALIZED (SELECT {key}, x::DOUBLE AS x, y::DOUBLE AS y FROM ({source}) WHERE isfinite(x::DOUBLE) AND isfinite(y::DOUBLE))"
+    for c in ("x", "y"):
+        rows = f"SELECT {key}, {c} AS x FROM twice"
+        fitted = f"(WITH RECURSIVE {fit(rows, key, core)}\nSELECT {key}, s, lb, ub, dlb, dub FROM fitted)"
+        if settle:
+            flagged = f"(WITH RECURSIVE {fit(rows, key, core)},\nlocals AS (SELECT {key}, s AS s_local FROM fitted){tops(key, core, 'a', 500)}{flags(key, 500)}\nSELECT {key}, homogeneous FROM flags)"
+            fixed = f"(WITH RECURSIVE {fit(rows, key, core, s=1.0)}\nSELECT {key}, s, lb, ub, dlb, dub FROM fitted)"
+            fitted = f"(SELECT f.* FROM {fitted} f JOIN {flagged} USING ({key}) WHERE homogeneous UNION ALL SELECT f.* FROM {fixed} f JOIN {flagged} USING ({key}) WHERE NOT homogeneous)"
+        inner = lambda v: sql.fininf(_z(v, "a"), "lb", "ub")
+        out += f""",
+f{c} AS MATERIALIZED (SELECT * FROM {fitted}),
+r{c} AS MATERIALIZED (SELECT {key}, {c} AS x, row_number() OVER (PARTITION BY {key} ORDER BY {c}) AS k FROM twice),
+h{c} AS MATERIALIZED (
+  SELECT {key}, i, j, {h} AS h FROM (
+    SELECT {key}, a.k AS i, b.k AS j, {_y(f"({inner('a.x')} / ({inner('b.x')} + {EPS}))", "s")} AS y FROM r{c} a JOIN r{c} b USING ({key}) JOIN f{c} USING ({key})))"""
+    return out
+
+
 def robust(source: str, key: str) -> str:
     """A query of ({key}, x, w) with the weights that the data of `source` give in the normalised domain."""
     z = sql.az("x", "min(x) OVER own", "max(x) OVER own")

@@ -104,15 +104,21 @@ def stationarity(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.stationarity(rows, "value", ["event_type"], ["ts"])
 
 
-def covariances(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return analysis.covariances(rows, "p_size", "p_retailprice", ["p_brand"], ["p_partkey"], max_points=64)
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+
+
+def _paired(f, **more):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return f(_parts(spark, sf), "p_size", "p_retailprice", ["p_brand"], **more)
+
+    return query
 
 
 def autocovariances(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
     daily = rows.groupBy("event_type", F.date_trunc("day", "ts").alias("ts")).agg(F.avg("value").alias("value"))
-    return analysis.autocovariances(daily, "value", ["event_type"], ["ts"], 1, max_points=64)
+    return analysis.autocovariances(daily, "value", ["event_type"], ["ts"], 1)
 
 
 def local_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,6 +187,27 @@ SELECT event_type, count(*) AS windows, count(*) >= 10 AND any_value(homogeneous
 FROM entropies JOIN {_flagged("SELECT event_type, x FROM entropies", "event_type", 100)} USING (event_type) GROUP BY event_type"""
 
 
+_SIZES = "SELECT p_brand, p_size AS x, p_retailprice AS y FROM part"
+
+
+def _correlation_sql(core: str, kept: str) -> str:
+    x, y = (kept.replace("h,", f"{c}.h,") if "," in kept else f"{c}.h" for c in ("hx", "hy"))
+    return f"""WITH {fit_sql.pairs(_SIZES, "p_brand", core, False)}
+SELECT p_brand, sum({x} * {y}) / nullif(sqrt(sum({x} * {x}) * sum({y} * {y})), 0) AS correlation
+FROM hx JOIN hy USING (p_brand, i, j) GROUP BY p_brand"""
+
+
+_COVARIANCES = f"""WITH {fit_sql.pairs(_SIZES, "p_brand", "egdf", True)},
+mx AS (SELECT p_brand, j, avg(h) AS x FROM hx GROUP BY ALL), my AS (SELECT p_brand, j, avg(h) AS y FROM hy GROUP BY ALL)
+SELECT p_brand, avg(x * y) AS covariance FROM mx JOIN my USING (p_brand, j) GROUP BY p_brand"""
+
+_LATER = f"SELECT event_type, v AS x, lead(v) OVER (PARTITION BY event_type ORDER BY ts) AS y FROM ({_DAILY})"
+_AUTOCOVARIANCES = f"""WITH {fit_sql.pairs(_LATER, "event_type", "egdf", True)},
+mx AS (SELECT event_type, j, avg(h) AS x FROM hx GROUP BY ALL), my AS (SELECT event_type, j, avg(h) AS y FROM hy GROUP BY ALL)
+SELECT event_type, coalesce(sum(x * y) / nullif(count(*) - 1, 0), 0) AS covariance, sum(x * y) / nullif(sqrt(sum(x * x) * sum(y * y)), 0) AS correlation
+FROM mx JOIN my USING (event_type, j) GROUP BY event_type"""
+
+
 def _membership_sql(source: str, key: str, points: int = 500, steps: int = analysis.WALK_STEPS) -> str:
     """The walk's samples as groups of their own, named by group, side and step."""
     total, offsets = 0.0, [0.0]
@@ -230,7 +257,9 @@ QUERIES = {
     "membership": (membership, _membership_sql(_SUPPLIERS, "k")),
     "interval_analysis": (interval_analysis, None),
     "stationarity": (stationarity, _WINDOWS),
-    "covariances": (covariances, None),
-    "autocovariances": (autocovariances, None),
+    "correlation": (_paired(analysis.correlation), _correlation_sql("egdf", "h")),
+    "correlation_j": (_paired(analysis.correlation, case="j"), _correlation_sql("qgdf", "greatest(least(h, 1e12), 1.0)")),
+    "covariances": (_paired(analysis.covariances), _COVARIANCES),
+    "autocovariances": (autocovariances, _AUTOCOVARIANCES),
     "local_clusters": (local_clusters, None),
 }
