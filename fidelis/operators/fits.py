@@ -35,6 +35,8 @@ from fidelis.operators.weights import gnostic_weights, normalised
 EPS, PLACES = sys.float_info.epsilon, 64
 #: Values of a chunk, sums held by a task before it passes them on, and bytes of the groups' side that may be broadcast.
 CHUNK, HELD, BROADCAST_BYTES = 512, 1 << 21, 128 << 20
+#: Chunks of a group that one task may hold, and go through all rounds with.
+TOGETHER = 16
 #: Exponents stay where sums of their powers are finite.
 Y_MAX = MAX_EXPONENT - 20
 #: The box that scale and bounds are searched in.
@@ -64,7 +66,8 @@ class Sample:
     weights; `groups` has the keys, n, dlb, dub, median and _places, an array of (p, x, target,
     wedf, weight). Both are checkpointed; `held` is the size of the groups' side in bytes.
     Of samples that extend() makes `by` are the chunks' keys, which several groups share, and
-    _at in `groups` is the datum that each group has besides.
+    _at in `groups` is the datum that each group has besides. `least` and `most` are the
+    fewest and the most distinct values of a group (_values in `groups`).
     """
 
     chunks: DataFrame
@@ -73,6 +76,8 @@ class Sample:
     held: int
     by: list[str]
     count: int | None
+    least: int
+    most: int
     added: tuple[str, ...] = ()
 
     def rows(self) -> DataFrame:
@@ -118,8 +123,13 @@ def sample(
     arrays = [F.col(f"_p.{c}").alias(f"{c}s") for c in ("_x", "_c", "_w")]
     chunks = cut(dealt.select(*keys, *arrays).repartition(tasks))
     groups = cut(places(ranked, keys, count))
-    size = groups.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
-    return Sample(chunks, groups, keys, 72 * (size["p"] or 0) + 4096 * size["g"], keys, count)
+    return _laid_out(chunks, groups, keys, keys, count, ())
+
+
+def _laid_out(chunks: DataFrame, groups: DataFrame, keys: list[str], by: list[str], count: int | None, added: tuple[str, ...]) -> Sample:
+    sizes = [F.count("*").alias("g"), F.sum(F.size("_places")).alias("p"), F.min("_values").alias("a"), F.max("_values").alias("b")]
+    size = groups.agg(*sizes).first()
+    return Sample(chunks, groups, keys, 72 * (size["p"] or 0) + 4096 * size["g"], by, count, size["a"] or 0, size["b"] or 0, added)
 
 
 def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> DataFrame:
@@ -144,7 +154,8 @@ def places(ranked: DataFrame, keys: list[str], count: int | None = PLACES) -> Da
     spots = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", *[v.alias(k) for k, v in values.items()]))).alias("_places"))
     covers = lambda r: (b + c > r) & (b <= r)
     at = lambda r: F.max(F.when(covers(r), x))
-    ends = whole.groupBy(*keys, "n", "dlb", "dub").agg(((at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2).alias("median"))
+    middle = (at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2
+    ends = whole.groupBy(*keys, "n", "dlb", "dub").agg(middle.alias("median"), F.count("*").alias("_values"))
     return join_groups(ends, spots, keys)
 
 
@@ -178,7 +189,7 @@ def extend(sample: Sample, additions: DataFrame, tags: list[str]) -> Sample:
     b, c = F.col("_kc") - F.col("_c"), F.col("_c")
     at = lambda r: F.max(F.when((b <= r) & (r < b + c), F.col("_x")))
     middle = {f"_m{i}": at(r) for i, r in enumerate((F.floor(F.col("n") / 2) - 1, F.floor(F.col("n") / 2), F.ceil(F.col("n") / 2) - 1, F.ceil(F.col("n") / 2)))}
-    ends = counted.groupBy(*by, "n", "dlb", "dub").agg(*[v.alias(k) for k, v in middle.items()])
+    ends = counted.groupBy(*by, "n", "dlb", "dub").agg(*[v.alias(k) for k, v in middle.items()], F.count("*").alias("_values"))
     base = cut(join_groups(join_groups(ends, sides[0], by), sides[1], by))
     asked = cut(additions.select(*keys, "_at"))
     below = join_groups(sample.rows(), sample.sided(asked), by).groupBy(*keys).agg(F.sum(F.when(F.col("_x") < F.col("_at"), F.col("_c")).otherwise(0)).alias("_pos"))
@@ -197,11 +208,9 @@ def extend(sample: Sample, additions: DataFrame, tags: list[str]) -> Sample:
 
     groups = wide.select(
         *keys, n.alias("n"), F.least("_least", "_at").alias("dlb"), F.greatest("_most", "_at").alias("dub"), median.alias("median"),
-        F.transform(F.sequence(F.lit(0).cast("long"), m), place).alias("_places"), "_at",
+        F.transform(F.sequence(F.lit(0).cast("long"), m), place).alias("_places"), "_at", (F.col("_values") + 1).alias("_values"),
     )
-    whole = cut(groups)
-    size = whole.agg(F.count("*").alias("g"), F.sum(F.size("_places")).alias("p")).first()
-    return Sample(sample.chunks, whole, keys, 72 * (size["p"] or 0) + 4096 * size["g"], by, sample.count, ("_at",))
+    return _laid_out(sample.chunks, cut(groups), keys, by, sample.count, ("_at",))
 
 
 def start_bounds(form: str) -> tuple[Column, Column]:
@@ -296,6 +305,15 @@ def _chunk_sums(xs, ws, low, high, candidates, at, form: str, estimating: bool,
         return out
 
 
+def _met(sample: Sample, groups: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(keys, _xs, _ws, dlb, dub, columns): the chunks of each group, and the datum that it has besides as one of its own."""
+    kept = [*sample.keys, "_xs", "_ws", "dlb", "dub", *columns]
+    met = join_groups(sample.chunks, sample.sided(groups.select(*sample.keys, "dlb", "dub", *columns)), sample.by).select(*kept)
+    if not sample.added:
+        return met
+    return met.unionByName(groups.withColumns({"_xs": F.array("_at"), "_ws": F.array(F.lit(1.0))}).select(*kept))
+
+
 _ASKED = ("_s", "_lb", "_ub", "_g", "_px", "_pt", "_pw")
 _SUMS = ("_f", "_h", "_f2", "_fh", "_n")
 
@@ -307,11 +325,9 @@ def moments(sample: Sample, asked: DataFrame, form: str, estimating: bool, round
     _pw of places, their targets and weights. The scale at a place z is s exp(g z), `rounded`
     to a tenth and LEAST_SCALE at least if so asked.
     """
-    keys, columns = sample.keys, ["_xs", "_ws", "dlb", "dub", *_ASKED]
-    met = join_groups(sample.chunks, sample.sided(asked.select(*keys, "dlb", "dub", *_ASKED)), sample.by).select(*keys, *columns)
+    keys, met = sample.keys, _met(sample, asked, _ASKED)
     if sample.added:
-        own = asked.withColumns({"_xs": F.array("_at"), "_ws": F.array(F.lit(1.0))}).select(*keys, *columns)
-        met = met.unionByName(own).repartition(sample.chunks.rdd.getNumPartitions(), *keys)
+        met = met.repartition(sample.chunks.rdd.getNumPartitions(), *keys)
     schema = StructType([met.schema[k] for k in keys])
     for name, kind in (("c", IntegerType()), ("p", IntegerType()), *((n, DoubleType()) for n in ("s", "lb", "ub", "g", "target", "weight", *_SUMS))):
         schema = schema.add(name, kind)
@@ -415,6 +431,61 @@ def _best(sample: Sample, asked: DataFrame, core: str, form: str, empirical: boo
     return losses.groupBy(*keys).agg(F.min(ranked).alias("_best"))
 
 
+def _searched_apart(sample: Sample, groups: DataFrame, core: str, form: str, s: float | None, empirical: bool) -> DataFrame:
+    """(keys, _best) of groups of any size: their chunks meet each round's candidates in many tasks."""
+    keys, target = sample.keys, "wedf" if empirical else "target"
+    best = _best(sample, _asked(groups, _coarse(s, form), keys, target), core, form, empirical)
+    for step in ROUNDS:
+        about = join_groups(groups, sample.sided(best), keys)
+        best = _best(sample, _asked(about, _cube(s, step), keys, target), core, form, empirical)
+    return best
+
+
+def _searched_together(sample: Sample, groups: DataFrame, core: str, form: str, s: float | None, empirical: bool) -> DataFrame:
+    """The same of groups of few chunks: a group's chunks come into one task, which takes the same sums for all rounds."""
+    keys, target = sample.keys, "wedf" if empirical else "target"
+    starts = {f"_start_{n}": c for n, c in zip(("lb", "ub"), start_bounds(form), strict=True)}
+    spots = {c: F.col(f"_places.{n}") for n, c in (("x", "_px"), (target, "_pt"), ("weight", "_pw"))}
+    began, placed = tuple(starts), tuple(spots)
+    met = _met(sample, groups.withColumns(starts | spots), (*began, *placed))
+    schema, names = StructType([met.schema[k] for k in keys]), ("r", "c", "s", "lb", "ub", "loss", "mean_f")
+    for n in names:
+        schema = schema.add(n, IntegerType() if n == "c" else DoubleType())
+
+    def run(table: pa.Table) -> pa.Table:
+        one = lambda c: np.asarray(table.column(c)[0].values.to_numpy(zero_copy_only=False), float)
+        low, high, lb, ub = (table.column(c)[0].as_py() for c in ("dlb", "dub", *began))
+        chunks = [tuple(np.asarray(table.column(c)[i].values.to_numpy(zero_copy_only=False), float) for c in ("_xs", "_ws")) for i in range(table.num_rows)]
+        at, targets, weights = (one(c) for c in placed)
+        rows = coarse(s)
+        rows[0] = (rows[0][0], math.nan if lb is None else lb, math.nan if ub is None else ub)
+        for step in (None, *ROUNDS):
+            if step is not None:
+                moved = [(found[2] * a, found[3] * b, found[4] * c) for a, b, c in cube(s, step)]
+                rows = [tuple(v if n == "s" and s is not None else max(a, min(b, v)) for v, (n, (a, b)) in zip(row, BOX.items(), strict=True)) for row in moved]
+            sums = sum(_chunk_sums(xs, ws, low, high, [(*r, 0.0) for r in rows], at, form, core[0] == "e", False, False) for xs, ws in chunks)
+            found = min(_judged(sums, rows, targets, weights, empirical))
+        return pa.table([*(table.column(k).slice(0, 1) for k in keys), *(pa.array([v]) for v in found)], schema=pa.schema([*(table.schema.field(k) for k in keys), *((n, pa.int32() if n == "c" else pa.float64()) for n in names)]))
+
+    return met.groupBy(*keys).applyInArrow(run, schema).select(*keys, F.struct(*names).alias("_best"))
+
+
+def _judged(sums: np.ndarray, rows: list[tuple], targets: np.ndarray, weights: np.ndarray, empirical: bool) -> list[tuple]:
+    """(loss in DIGITS, number, s, lb, ub, loss, mean fidelity) of each candidate from its sums, as _best() has them."""
+    with np.errstate(all="ignore"):
+        f, h = sums[:, :, 0] / sums[:, :, 4], sums[:, :, 1] / sums[:, :, 4]
+        norm = np.sqrt(f * f + h * h)
+        v = (1 - np.clip(h / np.where(norm > 0, norm, EPS), -1, 1)) / 2
+        v = np.clip(np.maximum.accumulate(v, axis=1), 0, 1)
+        if empirical:
+            there, back = v / (targets + 1e-6), targets / (v + 1e-6)
+            losses = -(2 / (there * there + back * back)).mean(1)
+        else:
+            losses = (np.abs(v - targets) * weights).max(1)
+    losses = np.where(np.isnan(losses), np.inf, losses)
+    return [(round(loss, DIGITS), c, *row, loss, mean) for c, (row, loss, mean) in enumerate(zip(rows, losses.tolist(), f.mean(1).tolist(), strict=True))]
+
+
 def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = None, empirical: bool = False) -> DataFrame:
     """(keys, n, dlb, dub, median, s_opt, lb, ub, loss, mean_f) of each group of a sample, checkpointed.
 
@@ -424,13 +495,15 @@ def fit(sample: Sample, kind: str = "egdf", form: str = "a", s: float | None = N
     one (or s), the starting bounds, no loss. Null keys are a group.
     """
     keys, core = sample.keys, {"e": "egdf", "q": "qgdf"}[kind[0]]
-    searched, target = sample.groups.filter("dub > dlb"), "wedf" if empirical else "target"
-    best = _best(sample, _asked(searched, _coarse(s, form), keys, target), core, form, empirical)
-    for step in ROUNDS:
-        about = join_groups(searched, sample.sided(best), keys)
-        best = _best(sample, _asked(about, _cube(s, step), keys, target), core, form, empirical)
+    searched, together = sample.groups.filter("dub > dlb"), F.col("_values") <= TOGETHER * CHUNK
+    parts = []
+    if sample.least <= TOGETHER * CHUNK:
+        parts.append(_searched_together(sample, searched.filter(together), core, form, s, empirical))
+    if sample.most > TOGETHER * CHUNK:
+        parts.append(_searched_apart(sample, searched.filter(~together), core, form, s, empirical))
+    best = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     lb, ub = start_bounds(form)
-    groups = sample.groups.drop("_places")
+    groups = sample.groups.drop("_places", "_values")
     found = join_groups(groups, best, keys, "left") if keys else groups.join(best, how="left")
     return cut(
         found.select(

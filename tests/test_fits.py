@@ -21,7 +21,7 @@ def _plain_means(kind, xs, ws, at, s, lb, ub):
     inner = lambda v: (v - lb) / (1 - v / ub + 1e-6)
     f = h = 0.0
     for x, w in zip(xs, ws, strict=True):
-        y = 2 / s * math.log(abs(inner(z(x)) / (inner(z(at)) + 2.2e-16)) + 1e-10)
+        y = max(-fits.Y_MAX, min(fits.Y_MAX, 2 / s * math.log(abs(inner(z(x)) / (inner(z(at)) + 2.2e-16)) + 1e-10)))
         f += w * (1 / math.cosh(y) if kind[0] == "e" else math.cosh(y))
         h += w * (math.tanh(y) if kind[0] == "e" else math.sinh(y))
     return f / sum(ws), h / sum(ws)
