@@ -69,7 +69,7 @@ def _chances(told: DataFrame) -> Column:
     """The labels' probabilities: the model's own, or, one against rest, the margins' chances scaled to a sum of one."""
     if "probability" in told.columns:
         return vector_to_array("probability")
-    each = F.transform(vector_to_array("_raw"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
+    each = F.transform(vector_to_array("rawPrediction"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
     total = F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
     return F.transform(each, lambda x: x / total)
 
@@ -103,8 +103,9 @@ class GnosticTrees:
         common |= {"maxIter": self.trees, "stepSize": self.step}
         if self.classes is None:
             return GBTRegressor(**common)
-        one = GBTClassifier(**common)
-        return one if self.classes == 2 else OneVsRest(classifier=one, featuresCol="_x", labelCol="_y", weightCol="_w", rawPredictionCol="_raw")
+        if self.classes == 2:
+            return GBTClassifier(**common)
+        return OneVsRest(classifier=GBTClassifier(**common), featuresCol="_x", labelCol="_y", weightCol="_w")
 
     def _error(self, told: DataFrame) -> Column:
         if self.classes is None:

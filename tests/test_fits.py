@@ -52,12 +52,14 @@ def test_unit_weights_change_nothing_and_odd_weights_take_no_part(spark):
     assert fits.fit(fits.sample(frame, "x", weight="w")).first().asDict() == pytest.approx(plain.asDict())
 
 
-def test_chunks_do_not_matter(spark, monkeypatch):
+@pytest.mark.parametrize("together", [0, 12, 1000])
+def test_chunks_and_where_rounds_run_do_not_matter(spark, monkeypatch, together):
     rng = np.random.default_rng(4)
     frame = _frame(spark, {"a": np.round(rng.normal(0, 1, 150), 1), "b": rng.normal(0, 1, 70), "one": [3.0]})
     whole = {r["k"]: r for r in fits.fit(fits.sample(frame, "x", ["k"])).collect()}
     monkeypatch.setattr(fits, "CHUNK", 7)
     monkeypatch.setattr(fits, "HELD", 1)
+    monkeypatch.setattr(fits, "TOGETHER", together)  # no group, some groups or all in one task
     parted = {r["k"]: r for r in fits.fit(fits.sample(frame, "x", ["k"])).collect()}
     for k, r in whole.items():
         assert {c: v for c, v in parted[k].asDict().items() if c != "k" and v is not None} == pytest.approx({c: v for c, v in r.asDict().items() if c != "k" and v is not None})
