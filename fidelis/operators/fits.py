@@ -465,11 +465,18 @@ def _searched_together(sample: Sample, groups: DataFrame, core: str, form: str,
                 rows = [tuple(v if n == "s" and s is not None else max(a, min(b, v)) for v, (n, (a, b)) in zip(row, BOX.items(), strict=True)) for row in moved]
             sums = sum(_chunk_sums(xs, ws, low, high, [(*r, 0.0) for r in rows], at, form, core[0] == "e", False, False) for xs, ws in chunks)
             found = min(_judged(sums, rows, targets, weights, empirical))
-        return pa.table([*(table.column(k).slice(0, 1) for k in keys), *(pa.array([v]) for v in found)], schema=pa.schema([*(table.schema.field(k) for k in keys), *((n, pa.int32() if n == "c" else pa.float64()) for n in names)]))
+        own = {k: _in_utc(table.column(k).slice(0, 1)) for k in keys}
+        return pa.table(own | {n: pa.array([v], pa.int32() if n == "c" else pa.float64()) for n, v in zip(names, found, strict=True)})
 
     return met.groupBy(*keys).applyInArrow(run, schema).select(*keys, F.struct(*names).alias("_best"))
 
 
+def _in_utc(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Times as Spark takes them back: in whatever zone the session's are, they come in that and go in UTC."""
+    zoned = pa.types.is_timestamp(column.type) and column.type.tz is not None
+    return column.cast(pa.timestamp("us", "UTC")) if zoned else column
+
+
 def _judged(sums: np.ndarray, rows: list[tuple], targets: np.ndarray, weights: np.ndarray, empirical: bool) -> list[tuple]:
     """(loss in DIGITS, number, s, lb, ub, loss, mean fidelity) of each candidate from its sums, as _best() has them."""
     with np.errstate(all="ignore"):
