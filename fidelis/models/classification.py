@@ -55,16 +55,18 @@ class MulticlassClassifier:
         beta, history = np.zeros((p, classes)), []
         truth = one_hot(F.col("y").cast("int"), classes)
         for i in range(1, self.settings.max_iter + 1):
-            fits = [robust.linear(beta[:, k]) for k in range(classes)]
-            scored = rows.withColumn("_p", _chances(fits)).withColumn("_t", truth)
-            errors = [F.col("_p")[k] - F.col("_t")[k] for k in range(classes)]
-            size = F.sqrt(sum((e * e for e in errors), F.lit(0.0)))
-            z = robust.to_z(size, robust.bounds(scored, e=size)["e"], self.settings.form)
+            found = _with_errors(rows, [robust.linear(beta[:, k]) for k in range(classes)], truth)
+            targets = [(F.col(f"_f{k}") - F.col(f"_e{k}")).alias(f"_g{k}") for k in range(classes)]
+            # kept for the round: filters of the steps below would be moved before the steps above, with copies of all of them
+            scored = found.select(*[f"t{j}" for j in range(p)], *targets, "_size").persist()
+            z = robust.to_z(F.col("_size"), robust.bounds(scored, e=F.col("_size"))["e"], self.settings.form)
             weight, _ = robust.robust_weight(scored, z)
             entropy = robust.entropy_of(scored, z, self.settings)
-            beta = robust.normal_equations(scored, p, weight, [f - e for f, e in zip(fits, errors, strict=True)], RIDGE)
-            after = rows.withColumn("_p", _chances([robust.linear(beta[:, k]) for k in range(classes)])).withColumn("_t", truth)
-            of_class = sum((F.col("_t")[k] * F.log(F.greatest(F.lit(GUARD), F.least(F.lit(1 - GUARD), F.col("_p")[k]))) for k in range(classes)), F.lit(0.0))
+            weighed = scored.withColumn("_weight", weight)
+            beta = robust.normal_equations(weighed, p, F.col("_weight"), [F.col(f"_g{k}") for k in range(classes)], RIDGE)
+            scored.unpersist()
+            after = _with_errors(rows, [robust.linear(beta[:, k]) for k in range(classes)], truth)
+            of_class = sum((truth[k] * F.log(F.greatest(F.lit(GUARD), F.least(F.lit(1 - GUARD), F.col(f"_p{k}")))) for k in range(classes)), F.lit(0.0))
             loss = after.agg(-F.avg(of_class)).first()[0]
             history.append({"iteration": i, "loss": loss, "entropy": entropy, "coefficients": beta.tolist()})
             if robust.settled(history, self.settings):
@@ -73,6 +75,27 @@ class MulticlassClassifier:
         return Model("multiclass", self.features, self.label, self.degree, beta.tolist(), asdict(self.settings), history, {"classes": classes})
 
 
+def _with_errors(rows: DataFrame, fits: list[Column], truth: Column) -> DataFrame:
+    """Adds each class's logit _f, chance _p and error _e, and _size, the errors' length.
+
+    Each step is a column of its own: later steps use it more than once, and as one
+    expression its copies would grow with every step and leave generated code.
+    """
+    classes = range(len(fits))
+    steps = [
+        {f"_f{k}": f for k, f in enumerate(fits)},
+        {"_top": F.greatest(*[F.col(f"_f{k}") for k in classes]) if len(fits) > 1 else F.col("_f0")},
+        {f"_x{k}": F.exp(F.col(f"_f{k}") - F.col("_top")) for k in classes},
+        {"_total": sum((F.col(f"_x{k}") for k in classes[1:]), F.col("_x0"))},
+        {f"_p{k}": F.col(f"_x{k}") / F.col("_total") for k in classes},
+        {f"_e{k}": F.col(f"_p{k}") - truth[k] for k in classes},
+        {"_size": F.sqrt(sum((F.col(f"_e{k}") * F.col(f"_e{k}") for k in classes), F.lit(0.0)))},
+    ]
+    for step in steps:
+        rows = rows.withColumns(step)
+    return rows
+
+
 def _chances(fits: list[Column]) -> Column:
     """softmax() of a fixed number of logits, as plain expressions that stay in generated code."""
     top = F.greatest(*fits) if len(fits) > 1 else fits[0]
