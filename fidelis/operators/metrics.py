@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions import fidelity_i, gnostic_scale, irrelevance_i, irrelevance_j, q_pair
-from fidelis.operators.totals import exact_median, join_groups, valid, with_totals
+from fidelis.operators.totals import exact_median, join_totals, valid, with_totals
 
 #: Ratio floor and greatest logarithm of the mean multiplicative error.
 RATIO_EPS, LOG_LIMIT = 1e-10, 100.0
@@ -56,8 +56,8 @@ def evaluation(df: DataFrame, y: str, fit: str, keys: list[str] = (), weight: st
     pairs = _pairs(df, y, fit, keys, weight).withColumn("_e", F.col("_y") - F.col("_p"))
     weighted = lambda x: F.try_divide(F.sum(F.col("_w") * x), F.sum("_w"))
     rows = with_totals(pairs, keys, weighted(F.col("_e")).alias("_em"), weighted(F.col("_y")).alias("_ym"))
-    rows = join_groups(rows, exact_median(pairs, keys, "_y", "_y0"), keys)
-    rows = join_groups(rows, exact_median(pairs, keys, "_p", "_p0"), keys)
+    rows = join_totals(rows, exact_median(pairs, keys, "_y", "_y0"), keys)
+    rows = join_totals(rows, exact_median(pairs, keys, "_p", "_p0"), keys)
     ratio = F.coalesce(F.try_divide(F.col("_y"), F.col("_p")), F.lit(RATIO_EPS))
     log_ratio = F.least(F.abs(F.log(F.greatest(ratio, F.lit(RATIO_EPS)))), F.lit(LOG_LIMIT))
     out = rows.groupBy(*keys).agg(
@@ -118,7 +118,7 @@ def h_criterion(df: DataFrame, y: str, fit: str, keys: list[str] = (), case: str
         pair = q_pair(F.col("_r"), 1.0)
         fidelity = fidelity_i(*pair) if case == "i" else (pair[0] + pair[1]) / 2
         means = rows.groupBy(*keys).agg(F.avg(fidelity).alias("_f"))
-        rows = join_groups(rows, means.select(*keys, gnostic_scale(F.col("_f")).alias("_s")), keys)
+        rows = join_totals(rows, means.select(*keys, gnostic_scale(F.col("_f")).alias("_s")), keys)
         pair = q_pair(F.col("_r"), F.col("_s"))
     else:
         warnings.warn("a scale other than 'auto' means S = 1", stacklevel=2)

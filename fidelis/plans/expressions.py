@@ -99,10 +99,10 @@ _RATIOS = "(SELECT l_orderkey, l_linenumber, l_extendedprice / median(l_extended
 
 
 def _ratios(spark: SparkSession, sf: str) -> DataFrame:
-    from fidelis.operators.totals import exact_median, join_groups
+    from fidelis.operators.totals import exact_median, join_totals
 
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    centred = join_groups(rows, exact_median(rows, ["l_returnflag"], "l_extendedprice", "m"), ["l_returnflag"])
+    centred = join_totals(rows, exact_median(rows, ["l_returnflag"], "l_extendedprice", "m"), ["l_returnflag"])
     return centred.select("l_orderkey", "l_linenumber", F.try_divide(F.col("l_extendedprice"), F.col("m")).alias("r"))
 
 
