@@ -17,7 +17,7 @@ from fidelis.functions.characteristics import (
     sigmoid,
     softmax,
 )
-from fidelis.functions.convert import az, fininf, inffin, mz, probable_bounds, za, zm
+from fidelis.functions.convert import az, fininf, inffin, mz, probable_bounds, rounded, za, zm
 from fidelis.functions.features import one_hot, polynomial_terms
 from fidelis.functions.scale import gnostic_scale
 
@@ -43,6 +43,7 @@ __all__ = [
     "probable_bounds",
     "q_pair",
     "residual_entropy",
+    "rounded",
     "sigmoid",
     "softmax",
     "za",

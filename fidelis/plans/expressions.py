@@ -13,7 +13,7 @@ from fidelis.sources.tables import table
 
 
 def _r(c, digits: int = 6):
-    return F.round(c, digits)
+    return G.rounded(F.col(c) if isinstance(c, str) else c, digits)
 
 
 def convert_az(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelis.functions import rounded
 from fidelis.models import selection
 from fidelis.operators import classification, empirical, metrics, moments, peaks, series, silhouette
 from fidelis.plans import sql as S
@@ -12,7 +13,7 @@ from fidelis.sources.tables import table
 
 
 def _r(c, digits: int = 6):
-    return F.round(c, digits)
+    return rounded(F.col(c) if isinstance(c, str) else c, digits)
 
 
 def _fit(spark: SparkSession, sf: str) -> DataFrame:
