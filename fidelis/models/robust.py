@@ -107,23 +107,31 @@ def to_z(x: Column, low_high: tuple[float, float], form: str) -> Column:
     return {"a": az, "m": mz}[form](x, F.lit(float(low_high[0])), F.lit(float(low_high[1])))
 
 
-def robust_weight(rows: DataFrame, z: Column) -> tuple[Column, float]:
-    """The squared fidelity about the median at the scale of the mean fidelity, and that scale."""
-    middle = exact_median(rows.select(z.alias("_z")), [], "_z", "m").first()["m"]
+def _mean(x: Column, count: str | None) -> Column:
+    return F.avg(x) if count is None else F.sum(x * F.col(count)) / F.sum(F.when(x.isNotNull(), F.col(count)))
+
+
+def robust_weight(rows: DataFrame, z: Column, count: str | None = None) -> tuple[Column, float]:
+    """The squared fidelity about the median at the scale of the mean fidelity, and that scale; a row stands for `count`."""
+    middle = exact_median(rows.select(z.alias("_z"), *([count] if count else [])), [], "_z", "m", count).first()["m"]
     ratio = z / F.lit(float(middle))
-    mean = rows.agg(F.avg(fidelity_i(*q_pair(ratio, 1.0)))).first()[0]
+    mean = rows.agg(_mean(fidelity_i(*q_pair(ratio, 1.0)), count)).first()[0]
     scale = scale_of(float(mean))
     fidelity = fidelity_i(*q_pair(ratio, scale))
     return fidelity * fidelity, scale
 
 
-def criterion(rows: DataFrame, ratio: Column, scale: float, loss: str, weight: Column) -> tuple[float, float, float]:
-    """(sum of squared irrelevances, mean residual entropy scaled to its range, sum of weights)."""
+def criterion(rows: DataFrame, ratio: Column, scale: float, loss: str, weight: Column, count: str | None = None) -> tuple[float, float, float]:
+    """(sum of squared irrelevances, mean residual entropy scaled to its range, sum of weights); a row stands for `count`."""
     pair = q_pair(ratio, scale)
     h = irrelevance_i(*pair) if loss == "hi" else irrelevance_j(*pair)
-    re = fidelity_j(*pair) - fidelity_i(*pair)
+    re, times = fidelity_j(*pair) - fidelity_i(*pair), F.lit(1) if count is None else F.col(count)
     got = rows.agg(
-        F.sum(h * h).alias("loss"), F.avg(re).alias("mean"), F.min(re).alias("low"), F.max(re).alias("high"), F.sum(weight).alias("weight")
+        F.sum(h * h * times).alias("loss"),
+        _mean(re, count).alias("mean"),
+        F.min(re).alias("low"),
+        F.max(re).alias("high"),
+        F.sum(weight * times).alias("weight"),
     ).first()
     span = (got["high"] or 0.0) - (got["low"] or 0.0)
     entropy = ((got["mean"] or 0.0) - (got["low"] or 0.0)) / span if span else (got["mean"] or 0.0)

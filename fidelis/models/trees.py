@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import classification, regression
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,21 +22,24 @@ from fidelis.operators.metrics import evaluation
 from fidelis.operators.totals import valid
 
 KINDS = ("tree", "forest", "boosting")
+#: Bins of a feature, spark.ml's own default.
+BINS = 32
 
 
 @dataclass
 class TreeModel:
-    """The last round's spark.ml model, and the history of rounds."""
+    """The last round's spark.ml model, the features' bins that it learned from, and the history of rounds."""
 
     model: object
     features: list[str]
     label: str
     classes: int | None
     history: list[dict] = field(default_factory=list)
+    splits: list[list[float]] = field(default_factory=list)
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Adds the prediction, and for classifiers the probability of each label."""
-        out = self.model.transform(_assembled(df, self.features))
+        out = _told(self.model, _assembled(df, self.features, self.splits))
         if self.classes is None:
             return out.select(*df.columns, F.col("prediction").alias(name))
         return out.select(*df.columns, F.col("prediction").cast("int").alias(name), _chances(out).alias("probability"))
@@ -43,7 +47,7 @@ class TreeModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the spark.ml model and what belongs to it to any path that Spark writes."""
         self.model.write().overwrite().save(f"{path}/model")
-        about = {k: getattr(self, k) for k in ("features", "label", "classes", "history")} | {"model": type(self.model).__name__}
+        about = {k: getattr(self, k) for k in ("features", "label", "classes", "history", "splits")} | {"model": type(self.model).__name__}
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
@@ -65,17 +69,64 @@ class TreeModel:
         return accuracy(told.withColumn("_y", F.col(self.label).cast("int")), "_y", "_told").first()["accuracy"]
 
 
+def _told(model, rows: DataFrame) -> DataFrame:
+    """The rows with the model's prediction; one against rest, with the _margins of all labels, in the JVM.
+
+    OneVsRestModel.transform() of Python takes each label's margin through a Python function.
+    """
+    if not isinstance(model, OneVsRestModel):
+        return model.transform(rows)
+    out = rows
+    for i, m in enumerate(model.models):
+        out = m.transform(out, {m.rawPredictionCol: f"_raw{i}", m.predictionCol: "", m.probabilityCol: ""})
+    margins = F.array(*[vector_to_array(f"_raw{i}")[1] for i in range(len(model.models))])
+    best = (F.array_position("_margins", F.array_max("_margins")) - 1).cast("double")
+    return out.withColumn("_margins", margins).select(*rows.columns, "_margins", best.alias("prediction"))
+
+
 def _chances(told: DataFrame) -> Column:
     """The labels' probabilities: the model's own, or, one against rest, the margins' chances scaled to a sum of one."""
     if "probability" in told.columns:
         return vector_to_array("probability")
-    each = F.transform(vector_to_array("rawPrediction"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
+    each = F.transform("_margins", lambda margin: 1 / (1 + F.exp(-2 * margin)))
     total = F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
     return F.transform(each, lambda x: x / total)
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
+def _bins(rows: DataFrame, features: list[str]) -> list[list[float]]:
+    """Where each feature is cut: between all its values, if they are BINS at most, or else at its quantiles."""
+    at = [i / BINS for i in range(1, BINS)]
+    named = [(f"_q{i}", f"_d{i}", F.col(f).cast("double")) for i, f in enumerate(features)]
+    found = rows.agg(*[c for q, d, x in named for c in (F.percentile_approx(x, at, 10_000).alias(q), F.approx_count_distinct(x).alias(d))]).first()
+    splits = []
+    for q, d, x in named:
+        cuts = sorted(set(found[q] or []))
+        if found[d] <= 2 * BINS:
+            values = sorted(r[0] for r in rows.select(x.alias("x")).distinct().collect())
+            if len(values) <= BINS:
+                cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        splits.append([-math.inf, *(cuts or [0.0]), math.inf])
+    return splits
+
+
+def _binned(df: DataFrame, features: list[str], splits: list[list[float]]) -> DataFrame:
+    """Adds _f0, _f1, ...: the numbers of the features' bins."""
+    doubles = df.withColumns({f"_v{i}": F.col(f).cast("double") for i, f in enumerate(features)})
+    names = [[f"{c}{i}" for i in range(len(features))] for c in ("_v", "_f")]
+    out = Bucketizer(splitsArray=splits, inputCols=names[0], outputCols=names[1], handleInvalid="keep").transform(doubles).drop(*names[0])
+    # trees would take a bucketizer's column, by its metadata, as categories without an order
+    return out.withColumns({f: F.col(f) + F.lit(0.0) for f in names[1]})
+
+
+def _assembled(df: DataFrame, features: list[str], splits: list[list[float]]) -> DataFrame:
+    """Adds _x, the vector of the features' bins, or of the features where `splits` has none."""
+    if not splits:
+        return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
+    return _vectors(_binned(df, features, splits), len(features))
+
+
+def _vectors(binned: DataFrame, n: int) -> DataFrame:
+    return VectorAssembler(inputCols=[f"_f{i}" for i in range(n)], outputCol="_x", handleInvalid="keep").transform(binned)
 
 
 class GnosticTrees:
@@ -84,6 +135,11 @@ class GnosticTrees:
     After the first fit, up to max_iter rounds multiply the rows' weights by the robust
     weights of the residuals, scale them to the number of rows and fit again; a change of
     loss under `tolerance` ends them. Boosting of more than two classes is one against rest.
+
+    Trees cut features at the ends of BINS bins at most. Rows alike in their bins and label
+    are therefore counted once, and all rounds run on these rows and counts, however many rows
+    there are. Trees and boosting of numbers learn from the mean label of rows alike in their
+    bins, which has the same gains and leaves. A forest draws rows, and gets each of them.
     """
 
     def __init__(self, features: list[str], label: str, kind: str = "tree", classes: int | None = None, trees: int = 20, depth: int = 5, max_iter: int = 3, tolerance: float = 1e-4, seed: int = 0, step: float = 0.3, **settings):
@@ -113,27 +169,41 @@ class GnosticTrees:
         truth = one_hot(F.col("_y").cast("int"), self.classes)
         return F.sqrt(F.aggregate(F.zip_with(_chances(told), truth, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
 
+    def _fitted(self, rows: DataFrame):
+        """The model of `rows` (_f0, ..., _y, _c, _w), each of which stands for _c rows of weight _w."""
+        bins = [f"_f{i}" for i in range(len(self.features))]
+        if self.kind == "forest" and self.trees > 1:
+            each = rows.select(*bins, "_y", "_w", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_i"))
+        elif self.classes is None:
+            total = F.sum(F.col("_w") * F.col("_c"))
+            each = rows.groupBy(*bins).agg((F.sum(F.col("_y") * F.col("_w") * F.col("_c")) / total).alias("_y"), total.alias("_w")).filter("_w > 0")
+        else:
+            each = rows.withColumn("_w", F.col("_w") * F.col("_c"))
+        return self._estimator().fit(_vectors(each, len(bins)).select("_x", "_y", "_w"))
+
     def fit(self, df: DataFrame) -> TreeModel:
-        rows = _assembled(valid(df, self.label, *self.features), self.features).select("_x", F.col(self.label).cast("double").alias("_y"))
-        rows = rows.withColumn("_w", F.lit(1.0))
-        n, history = rows.count(), []
-        model = self._estimator().fit(rows)
+        known, bins = valid(df, self.label, *self.features), [f"_f{i}" for i in range(len(self.features))]
+        splits = _bins(known, self.features)
+        alike = _binned(known, self.features, splits).groupBy(*bins, F.col(self.label).cast("double").alias("_y")).agg(F.count("*").alias("_c"))
+        rows = cut(alike.withColumn("_w", F.lit(1.0)))
+        n, history = rows.agg(F.sum("_c")).first()[0], []
+        model = self._fitted(rows)
         for i in range(1, self.rounds + 1):
-            told = model.transform(rows)
-            scored = cut(told.select("_x", "_y", "_w", F.col("prediction").alias("_fit"), self._error(told).alias("_e")))
+            told = _told(model, _vectors(rows, len(bins)))
+            scored = cut(told.select(*bins, "_y", "_c", "_w", F.col("prediction").alias("_fit"), self._error(told).alias("_e")))
             low_high = robust.bounds(scored, e=F.col("_e"), y=F.col("_y"), fit=F.col("_fit"))
             form = self.settings.form
             z = robust.to_z(F.col("_e"), low_high["e"], form)
-            own, scale = robust.robust_weight(scored, z)
+            own, scale = robust.robust_weight(scored, z, "_c")
             if self.classes is None:
                 ratio = robust.safe_ratio(robust.to_z(F.col("_fit"), low_high["fit"], form), robust.to_z(F.col("_y"), low_high["y"], form))
             else:
                 ratio = z  # against a residual of zero, which is 1 in the normalised domain
-            loss, entropy, total = robust.criterion(scored, ratio, scale, self.settings.loss, F.col("_w") * own)
+            loss, entropy, total = robust.criterion(scored, ratio, scale, self.settings.loss, F.col("_w") * own, "_c")
             history.append({"iteration": i, "loss": loss, "entropy": entropy})
             if len(history) > 2 and abs(history[-2]["loss"] - loss) < self.settings.tolerance:
                 break
             weight = F.col("_w") * own * F.lit(n / total) if total else F.lit(1.0)
-            rows = cut(scored.select("_x", "_y", weight.alias("_w")))
-            model = self._estimator().fit(rows)
-        return TreeModel(model, self.features, self.label, self.classes, history)
+            rows = cut(scored.select(*bins, "_y", "_c", weight.alias("_w")))
+            model = self._fitted(rows)
+        return TreeModel(model, self.features, self.label, self.classes, history, splits)

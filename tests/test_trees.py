@@ -44,3 +44,27 @@ def test_classes_have_chances(spark, tmp_path, kind, classes):
     model.save(spark, str(tmp_path / kind))
     again = TreeModel.load(spark, str(tmp_path / kind)).predict(rows).collect()
     assert {(r["id"], r["prediction"]) for r in again} == {(r["id"], r["prediction"]) for r in told}
+
+
+def test_rows_alike_in_bins_are_fitted_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, fitted = [], GnosticTrees._fitted
+    monkeypatch.setattr(GnosticTrees, "_fitted", lambda self, rows: seen.append((rows.count(), rows.agg(F.sum("_c")).first()[0])) or fitted(self, rows))
+    rows = spark.range(6000).select((F.col("id") * 7 % 1000 / 1000).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") * 7 % 1000 >= 500).cast("double").alias("y"))
+    model = GnosticTrees(["a", "b"], "y", "tree", 2, depth=3, max_iter=1).fit(rows)
+    assert seen == [(n, 6000) for n, _ in seen] and len(seen) == 2 and seen[0][0] <= 2 * 32 * 3
+    assert model.score(rows) > 0.95
+
+
+def test_means_of_rows_alike_give_the_same_tree(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), F.lit(1.0).alias("k"))
+    rows = rows.withColumn("y", F.sin("a") * 5 + F.col("b") * F.col("b") + F.xxhash64("a", "b") % 3)
+    plain = DecisionTreeRegressor(featuresCol="v", labelCol="y", maxDepth=4).fit(VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(rows))
+    want = [r[0] for r in plain.transform(VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(rows)).select("prediction").collect()]
+    got = [r[0] for r in GnosticTrees(["a", "b"], "y", "tree", None, depth=4, max_iter=0).fit(rows).predict(rows).select("prediction").collect()]
+    assert got == pytest.approx(want)
