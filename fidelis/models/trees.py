@@ -6,13 +6,14 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml import classification, regression
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml import PipelineModel, classification, regression
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fidelis.functions import one_hot
 from fidelis.models import robust
@@ -54,7 +55,7 @@ class TreeModel:
     def load(cls, spark: SparkSession, path: str) -> TreeModel:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         name = about.pop("model")
-        kind = getattr(classification, name, None) or getattr(regression, name)
+        kind = PipelineModel if name == "PipelineModel" else getattr(classification, name, None) or getattr(regression, name)
         return cls(kind.load(f"{path}/model"), **about)
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
@@ -73,7 +74,19 @@ def _told(model, rows: DataFrame) -> DataFrame:
     """The rows with the model's prediction; one against rest, with the _margins of all labels, in the JVM.
 
     OneVsRestModel.transform() of Python takes each label's margin through a Python function.
+    A forest is a pipeline of trees: its prediction is their mean, or the label of the largest mean chance.
     """
+    if isinstance(model, PipelineModel):
+        n, out = len(model.stages), model.transform(rows)
+        if "_q0" not in out.columns:
+            return out.select(*rows.columns, (sum(F.col(f"_p{i}") for i in range(n)) / n).alias("prediction"))
+        each = [vector_to_array(f"_q{i}") for i in range(n)]
+        chances = F.transform(each[0], lambda x: x / n)
+        for other in each[1:]:
+            # a tree that drew no row of the last labels has no chance for them
+            chances = F.zip_with(chances, other, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b / n, F.lit(0.0)))
+        best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
+        return out.select(*rows.columns, chances.alias("probability")).withColumn("prediction", best)
     if not isinstance(model, OneVsRestModel):
         return model.transform(rows)
     out = rows
@@ -87,7 +100,8 @@ def _told(model, rows: DataFrame) -> DataFrame:
 def _chances(told: DataFrame) -> Column:
     """The labels' probabilities: the model's own, or, one against rest, the margins' chances scaled to a sum of one."""
     if "probability" in told.columns:
-        return vector_to_array("probability")
+        given = isinstance(told.schema["probability"].dataType, ArrayType)
+        return F.col("probability") if given else vector_to_array("probability")
     each = F.transform("_margins", lambda margin: 1 / (1 + F.exp(-2 * margin)))
     total = F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
     return F.transform(each, lambda x: x / total)
@@ -129,6 +143,22 @@ def _vectors(binned: DataFrame, n: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(n)], outputCol="_x", handleInvalid="keep").transform(binned)
 
 
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2 and so on, as far as doubles tell them from 1.
+_AT_MOST = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
+
+
+def _drawn(uniform: Column) -> Column:
+    """How often a row is drawn for a tree: the Poisson number of mean 1 at a uniform number."""
+    out = F.lit(len(_AT_MOST))
+    for k, chance in reversed(list(enumerate(_AT_MOST))):
+        out = F.when(uniform < chance, k).otherwise(out)
+    return out.cast("long")
+
+
+def _draws(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.startswith("_d")]
+
+
 class GnosticTrees:
     """kind: tree, forest or boosting; classes None for regression, else labels 0..classes-1.
 
@@ -139,7 +169,9 @@ class GnosticTrees:
     Trees cut features at the ends of BINS bins at most. Rows alike in their bins and label
     are therefore counted once, and all rounds run on these rows and counts, however many rows
     there are. Trees and boosting of numbers learn from the mean label of rows alike in their
-    bins, which has the same gains and leaves. A forest draws rows, and gets each of them.
+    bins, which has the same gains and leaves. A forest's trees take all features and draw
+    rows: each row is drawn a Poisson number of times for each tree while rows are counted,
+    and a tree runs on the sums of its draws in place of the counts. All rounds share the draws.
     """
 
     def __init__(self, features: list[str], label: str, kind: str = "tree", classes: int | None = None, trees: int = 20, depth: int = 5, max_iter: int = 3, tolerance: float = 1e-4, seed: int = 0, step: float = 0.3, **settings):
@@ -151,11 +183,8 @@ class GnosticTrees:
 
     def _estimator(self):
         common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "maxDepth": self.depth, "seed": self.seed}
-        if self.kind == "tree":
+        if self.kind in ("tree", "forest"):
             return DecisionTreeRegressor(**common) if self.classes is None else DecisionTreeClassifier(**common)
-        if self.kind == "forest":
-            common |= {"numTrees": self.trees, "featureSubsetStrategy": "all"}
-            return RandomForestRegressor(**common) if self.classes is None else RandomForestClassifier(**common)
         common |= {"maxIter": self.trees, "stepSize": self.step}
         if self.classes is None:
             return GBTRegressor(**common)
@@ -170,27 +199,42 @@ class GnosticTrees:
         return F.sqrt(F.aggregate(F.zip_with(_chances(told), truth, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
 
     def _fitted(self, rows: DataFrame):
-        """The model of `rows` (_f0, ..., _y, _c, _w), each of which stands for _c rows of weight _w."""
-        bins = [f"_f{i}" for i in range(len(self.features))]
-        if self.kind == "forest" and self.trees > 1:
-            each = rows.select(*bins, "_y", "_w", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_i"))
-        elif self.classes is None:
-            total = F.sum(F.col("_w") * F.col("_c"))
-            each = rows.groupBy(*bins).agg((F.sum(F.col("_y") * F.col("_w") * F.col("_c")) / total).alias("_y"), total.alias("_w")).filter("_w > 0")
-        else:
-            each = rows.withColumn("_w", F.col("_w") * F.col("_c"))
-        return self._estimator().fit(_vectors(each, len(bins)).select("_x", "_y", "_w"))
+        """The model of `rows` (_f0, ..., _y, _c, _w), each of which stands for _c rows of weight _w; a forest's have _d0, ..., the draws."""
+        bins, draws = [f"_f{i}" for i in range(len(self.features))], _draws(rows)
+        each, numbers = rows, self.classes is None
+        if numbers:
+            named = [(c, F.col("_w") * F.col(c)) for c in draws or ["_c"]]
+            each = rows.groupBy(*bins).agg(*[s for c, w in named for s in (F.sum(w).alias(f"_w{c}"), F.sum(F.col("_y") * w).alias(f"_t{c}"))])
+        each, models = _vectors(cut(each) if numbers and draws else each, len(bins)), []
+        for c in draws or ["_c"]:
+            weight = F.col(f"_w{c}") if numbers else F.col("_w") * F.col(c)
+            label = F.try_divide(F.col(f"_t{c}"), weight) if numbers else F.col("_y")
+            own = each.select("_x", label.alias("_y"), weight.alias("_w"))
+            models.append(self._estimator().fit(own.filter("_w > 0") if numbers or draws else own))
+        if not draws:
+            return models[0]
+        for i, model in enumerate(models):
+            model.setPredictionCol(f"_p{i}")
+            if not numbers:
+                model.setProbabilityCol(f"_q{i}").setRawPredictionCol("")
+        return PipelineModel(models)
 
     def fit(self, df: DataFrame) -> TreeModel:
         known, bins = valid(df, self.label, *self.features), [f"_f{i}" for i in range(len(self.features))]
         splits = _bins(known, self.features)
-        alike = _binned(known, self.features, splits).groupBy(*bins, F.col(self.label).cast("double").alias("_y")).agg(F.count("*").alias("_c"))
+        draws = [f"_d{i}" for i in range(self.trees)] if self.kind == "forest" and self.trees > 1 else []
+        binned = _binned(known, self.features, splits).select(*bins, F.col(self.label).cast("double").alias("_y"))
+        binned = binned.withColumns({d: F.rand(self.seed + i) for i, d in enumerate(draws)})
+        alike = binned.groupBy(*bins, "_y").agg(F.count("*").alias("_c"), *[F.sum(_drawn(F.col(d))).alias(d) for d in draws])
         rows = cut(alike.withColumn("_w", F.lit(1.0)))
-        n, history = rows.agg(F.sum("_c")).first()[0], []
+        sums = rows.agg(F.sum("_c").alias("_c"), *[F.sum(d).alias(d) for d in draws]).first()
+        n, history = sums["_c"], []
+        # of very few rows a tree may draw none: it takes each of them once
+        rows = rows.withColumns({d: F.col("_c") for d in draws if not sums[d]})
         model = self._fitted(rows)
         for i in range(1, self.rounds + 1):
             told = _told(model, _vectors(rows, len(bins)))
-            scored = cut(told.select(*bins, "_y", "_c", "_w", F.col("prediction").alias("_fit"), self._error(told).alias("_e")))
+            scored = cut(told.select(*bins, "_y", "_c", "_w", *draws, F.col("prediction").alias("_fit"), self._error(told).alias("_e")))
             low_high = robust.bounds(scored, e=F.col("_e"), y=F.col("_y"), fit=F.col("_fit"))
             form = self.settings.form
             z = robust.to_z(F.col("_e"), low_high["e"], form)
@@ -204,6 +248,6 @@ class GnosticTrees:
             if len(history) > 2 and abs(history[-2]["loss"] - loss) < self.settings.tolerance:
                 break
             weight = F.col("_w") * own * F.lit(n / total) if total else F.lit(1.0)
-            rows = cut(scored.select(*bins, "_y", "_c", weight.alias("_w")))
+            rows = cut(scored.select(*bins, "_y", "_c", *draws, weight.alias("_w")))
             model = self._fitted(rows)
         return TreeModel(model, self.features, self.label, self.classes, history, splits)

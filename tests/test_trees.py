@@ -68,3 +68,33 @@ def test_means_of_rows_alike_give_the_same_tree(spark):
     want = [r[0] for r in plain.transform(VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(rows)).select("prediction").collect()]
     got = [r[0] for r in GnosticTrees(["a", "b"], "y", "tree", None, depth=4, max_iter=0).fit(rows).predict(rows).select("prediction").collect()]
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("classes", [None, 2])
+def test_forest_counts_its_draws(spark, monkeypatch, classes):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.sql import functions as F
+
+    seen = []
+    for kind in (DecisionTreeClassifier, DecisionTreeRegressor):
+        fit = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, rows, fit=fit: seen.append((rows.count(), rows.agg(F.sum("_w")).first()[0])) or fit(self, rows))
+    rows = spark.range(6000).select((F.col("id") * 7 % 1000 / 1000).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") * 7 % 1000 >= 500).cast("double").alias("y"))
+    model = GnosticTrees(["a", "b"], "y", "forest", classes, trees=4, depth=3, max_iter=0).fit(rows)
+    # trees get rows alike once; the draws differ, and are about as many as rows
+    assert len(seen) == 4 and all(n <= 2 * 32 * 3 for n, _ in seen)
+    assert len({w for _, w in seen}) > 1 and all(abs(w - 6000) < 400 for _, w in seen)
+    assert model.score(rows) > 0.95
+
+
+def test_draws_are_poisson(spark):
+    from pyspark.sql import functions as F
+
+    from fidelis.models.trees import _drawn
+
+    got = spark.range(200_001).select(_drawn(F.col("id") / 200_000).alias("k")).groupBy("k").count().collect()
+    shares = {r["k"]: r["count"] / 200_001 for r in got}
+    for k, p in enumerate([0.367879, 0.367879, 0.183940, 0.061313, 0.015328]):
+        assert shares[k] == pytest.approx(p, abs=2e-5)
+    assert sum(k * p for k, p in shares.items()) == pytest.approx(1, abs=1e-3)
