@@ -43,6 +43,18 @@ def test_known_class_metrics(spark):
     assert [[got[i, j] for j in range(3)] for i in range(3)] == [[2, 0, 0], [0, 0, 1], [1, 0, 2]]
 
 
+def test_silhouette_distances_of_copies_offsets_and_infinities():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8)) + 1e7
+    x[1], x[3], x[4, 2] = x[0], x[2] + 1e-6, np.inf
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = silhouette.distances(x, x)
+    assert np.array_equal(np.isnan(got), np.isnan(want)) and got[0, 1] == 0
+    np.testing.assert_allclose(got, want, rtol=1e-11, atol=0)
+    np.testing.assert_allclose(silhouette.distances(x[5:], x[5:]), want[5:, 5:], rtol=1e-11, atol=0)
+
+
 def test_silhouette(spark):
     points = [(1, 2), (1, 4), (1, 0), (10, 2), (10, 4), (10, 0)]
     rows = spark.createDataFrame([(i, [float(a), float(b)], i // 3) for i, (a, b) in enumerate(points)], "id int, v array<double>, k int")
