@@ -162,7 +162,9 @@ def _local(rows: DataFrame, weights: np.ndarray) -> BlockMatrix:
 
 def _rows_of(matrix: BlockMatrix, name: str) -> DataFrame:
     """(index, name) of a block matrix's rows."""
-    rows = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    # named until the call is done: Python's wrapper lets go of the JVM's matrix when it is collected
+    indexed = matrix.toIndexedRowMatrix()
+    rows = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     return rows.select("index", vector_to_array("vector").alias(name))
 
 

@@ -1,6 +1,8 @@
 """Whitening against numpy in one piece."""
 
+import gc
 import math
+import time
 
 import numpy as np
 import pytest
@@ -73,3 +75,18 @@ def test_no_variance_repeated_rows_and_empty_tables(spark):
 def test_deviations_beyond_a_long_are_null(spark):
     rows = spark.createDataFrame([(i, [1e10 * i], 1, 1, "x") for i in range(3)], SCHEMA)
     assert {r["vec_id"]: r["deviation"] for r in whitening.whiten(rows).collect()} == {0: None, 1: 0, 2: None}
+
+
+def test_matrices_stay_named_while_the_jvm_reads_them(spark, monkeypatch):
+    """A matrix whose Python wrapper is collected is dropped by the JVM a little later: the call here comes after that."""
+    call = whitening.callMLlibFunc
+
+    def late(*args):
+        gc.collect()
+        time.sleep(2)
+        return call(*args)
+
+    monkeypatch.setattr(whitening, "callMLlibFunc", late)
+    vectors = np.random.default_rng(4).normal(0, 3, (12, 3)).tolist()
+    rows = whitening.whiten(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    _held(rows, list(range(12)), vectors)
